@@ -43,7 +43,7 @@ BUSINESS = {
     "international": ["intl", "int'l", "int"], "manufacturing": ["manuf", "mfg"], "software": ["sw", "softw"], "construction": ["constr"], "robotics": ["robot"],
 }
 NICKNAMES = {
-    "alexander": ["alex", "sandy", "al", "xander"], "antonia": ["toni", "tonia"], "charles": ["charlie", "chas", "chuck"], "edward": ["ed", "eddie", "ted", "ned"],
+    "alexander": ["alex", "sandy", "xander"], "antonia": ["toni", "tonia"], "charles": ["charlie", "chas", "chuck"], "edward": ["ed", "eddie", "ned"],
     "elizabeth": ["liz", "beth", "betty", "eliza", "lizzie"], "francisco": ["paco", "pancho", "fran"], "johannes": ["hans", "jo", "johan"],
     "katherine": ["kate", "kathy", "katie", "kat"], "margaret": ["maggie", "peggy", "meg", "marge"], "michael": ["mike", "mick", "mickey"], "richard": ["dick", "rick", "rich"],
     "robert": ["rob", "bob", "bobby", "robbie"], "theodore": ["theo", "teddy"], "william": ["will", "bill", "wm", "billy", "liam"], "james": ["jim", "jimmy"],
@@ -51,7 +51,8 @@ NICKNAMES = {
 }
 NOTES = re.compile(r"^\s*(?:careers at|jobs at|working at|the)\s+|\s*\([^)]*\)|\s*\|.*$|\s+-\s+(?:hr|human resources|people|recruiting)\b.*$|,\s*(?:berlin|london|paris|madrid|new york|munich)\b\s*$|\s+(?:uk|usa|de|group)\s*$", re.I)
 SHORT = {s: full for full, forms in BUSINESS.items() for s in [full, *forms]}
-FIRST = {s: full for full, forms in NICKNAMES.items() for s in [full, *forms]}
+EITHER = {"ted": ("edward", "theodore"), "al": ("albert", "alexander")}  # nicknames of two names
+FIRST = {k: k for k in EITHER} | {s: full for full, forms in NICKNAMES.items() for s in [full, *forms]}
 
 
 def fold(text: str) -> str:
@@ -92,7 +93,7 @@ def read_name(raw: str | None) -> tuple[str, list[str], str, str] | None:
     for _ in range(3):
         text = NOTES.sub("", text).strip()
     text = re.sub(r"health\s+care", "Healthcare", text, flags=re.I)
-    text = re.sub(r"\b((?:[A-Za-z]\.){2,}[A-Za-z]?)\.?", lambda m: m[1].replace(".", ""), text)  # P.L.C.
+    text = re.sub(r"\b((?:[A-Za-z]\.)+[A-Za-z])\b\.?", lambda m: m[1].replace(".", ""), text)  # P.L.C.
     text = re.sub(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ])", " ", text)
     tokens = [fold(t).strip(".'") for t in re.split(r"[\s&+/,\-–]+", text)]
     tokens = [t for t in tokens if t and t not in ("and", "und", "et", "y")]
@@ -167,7 +168,12 @@ def link_classes(classes: DataFrame, keys: DataFrame) -> DataFrame:
     pairs = side("a").join(side("b"), "key").where("a < b").select("a", "b").distinct()
     cols = lambda p: classes.select(F.col("class_id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("first", "names", "business", "legal")))
     both = pairs.join(cols("a"), "a").join(cols("b"), "b")
-    both = both.where("(a_business = b_business or a_business = '' or b_business = '') and left(a_first, 1) = left(b_first, 1) and (a_first = b_first or length(a_first) = 1 or length(b_first) = 1)")
+    both = both.where("a_business = b_business or a_business = '' or b_business = ''")
+    same_first = F.expr("left(a_first, 1) = left(b_first, 1) and (a_first = b_first or length(a_first) = 1 or length(b_first) = 1)")
+    for nick, names in EITHER.items():
+        for x, y in (("a_first", "b_first"), ("b_first", "a_first")):
+            same_first = same_first | ((F.col(x) == nick) & F.col(y).isin(*names))
+    both = both.where(same_first)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
