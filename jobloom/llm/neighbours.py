@@ -5,8 +5,8 @@ vector is indexed. Inside its cell a vector is kept as one bit per dimension of
 difference from the centre) and two scalars: the residual's norm and the inner product of the residual with its code.
 
 Search. Every vector is a query in its own cell and in each further cell whose centre is nearly as near as the nearest.
-The query's rotated residual is quantised to four bits per dimension; with it, the inner product with every code of the
-cell comes from AND and population counts over packed words. The estimate's error is bounded by
+The inner products of the query's rotated residual with the codes of the cell, unpacked tile by tile to +1 and -1, and
+the scalars give an unbiased estimate for every vector of the cell. Its error is bounded by
 bound * sqrt((1 - c^2) / c^2) / sqrt(d - 1) times the norms of the two residuals, c being the cosine between residual
 and code. Vectors whose upper bound reaches the k-th best lower bound are reranked with exact inner products in double
 precision.
@@ -28,8 +28,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.session import written
-
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
     """A random orthogonal matrix."""
@@ -53,18 +51,31 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 7)
 
 
 def pack(vectors: np.ndarray) -> list[bytes]:
-    """Vectors as bytes: half precision where that loses nothing, single precision otherwise."""
+    """Vectors as bytes, nothing lost: a step and whole multiples of it up to 127 where that is exact, else half or single precision."""
     single = vectors.astype(np.float32)
-    with np.errstate(over="ignore"):
+    size = np.abs(single)
+    least = np.where(size > 0, size, np.inf).min(1, keepdims=True).astype(np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
         half = single.astype(np.float16)
-    exact = (half.astype(np.float32) == single).all(axis=1)
-    return [h.tobytes() if e else s.tobytes() for h, s, e in zip(half, single, exact, strict=True)]
+        as_half = (half.astype(np.float32) == single).all(axis=1)
+        out: list[bytes | None] = [None] * len(single)
+        for part in (1, 2, 3):
+            step = least / np.float32(part)
+            whole = np.rint(single / step)
+            fits = ((np.abs(whole) <= 127).all(1)) & (whole.astype(np.float32) * step == single).all(1)
+            for i in np.flatnonzero(fits):
+                if out[i] is None:
+                    out[i] = step[i].tobytes() + whole[i].astype(np.int8).tobytes()
+    return [o or (h.tobytes() if e else v.tobytes()) for o, h, v, e in zip(out, half, single, as_half, strict=True)]
 
 
 def unpack(blobs: pd.Series, dims: int) -> np.ndarray:
     out = np.empty((len(blobs), dims), dtype=np.float64)
     for i, b in enumerate(blobs):
-        out[i] = np.frombuffer(b, dtype=np.float16 if len(b) == 2 * dims else np.float32)
+        if len(b) == dims + 4:
+            out[i] = np.frombuffer(b, dtype=np.int8, offset=4).astype(np.float32) * np.frombuffer(b, dtype=np.float32, count=1)
+        else:
+            out[i] = np.frombuffer(b, dtype=np.float16 if len(b) == 2 * dims else np.float32)
     return out
 
 
@@ -78,53 +89,31 @@ class Codes:
         direction = residual / np.maximum(self.norm, 1e-9)[:, None]
         bits = direction > 0
         self.cosine = np.maximum(np.abs(direction).sum(1) / math.sqrt(self.dims), 1e-3).astype(np.float32)
-        self.count = bits.sum(1).astype(np.float32)
-        width = -(-self.dims // 64) * 64
-        padded = np.zeros((len(units), width), dtype=np.uint8)
-        padded[:, : self.dims] = bits
-        self.words = np.packbits(padded, axis=1).view(np.uint64).T.copy()  # word by vector
+        self.packed = np.packbits(bits, axis=1)
         self.error = np.sqrt(np.maximum(1 - self.cosine**2, 0) / self.cosine**2) / math.sqrt(self.dims - 1)
         self.centre_product = (units @ centre).astype(np.float32)
 
-    def estimate(self, units: np.ndarray, centre: np.ndarray, turn: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    def signs(self) -> np.ndarray:
+        """The codes as +1 and -1, dimension by vector."""
+        return (np.unpackbits(self.packed, axis=1, count=self.dims).astype(np.float32) * 2 - 1).T
+
+    def estimate(self, units: np.ndarray, centre: np.ndarray, turn: np.ndarray, bound: float, signs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(estimated inner products, bounds of their errors) of queries with every code."""
         residual = (units - centre) @ turn.T
-        norm = np.linalg.norm(residual, axis=1).astype(np.float32)
-        direction = (residual / np.maximum(norm, 1e-9)[:, None]).astype(np.float32)
-        low = direction.min(1, keepdims=True)
-        step = np.maximum((direction.max(1, keepdims=True) - low) / 15, 1e-9)
-        levels = np.rint((direction - low) / step).astype(np.uint8)
-        width = self.words.shape[0] * 64
-        dot = np.zeros((len(units), self.words.shape[1]), dtype=np.uint16)
-        both = np.empty(dot.shape, dtype=np.uint64)
-        counted = np.empty(dot.shape, dtype=np.uint8)
-        scaled = np.empty(dot.shape, dtype=np.uint16)
-        for plane in range(4):
-            bits = np.zeros((len(units), width), dtype=np.uint8)
-            bits[:, : self.dims] = (levels >> plane) & 1
-            words = np.packbits(bits, axis=1).view(np.uint64)
-            total = np.zeros(dot.shape, dtype=np.uint16)
-            for w in range(self.words.shape[0]):
-                np.bitwise_and(words[:, w : w + 1], self.words[w][None, :], out=both)
-                np.bitwise_count(both, out=counted)
-                total += counted
-            np.left_shift(total, plane, out=scaled)
-            dot += scaled
-        # <code, direction> with code = (2 bit - 1) / sqrt(d) and direction = low + step * level
-        level_sum = levels.sum(1, dtype=np.float32)[:, None]
-        inner = (2 * (step * dot + low * self.count[None, :]) - (step * level_sum + low * self.dims)) / math.sqrt(self.dims)
-        scale = norm[:, None] * self.norm[None, :]
-        product = inner / self.cosine[None, :] * scale
-        at_centre = (units @ centre).astype(np.float32)[:, None] + self.centre_product[None, :] - float(centre @ centre)
-        return product + at_centre, bound * self.error[None, :] * scale + 1e-4
+        norm = np.linalg.norm(residual, axis=1)
+        guess = residual @ (self.signs() if signs is None else signs)
+        guess *= self.norm / (self.cosine * math.sqrt(self.dims))
+        guess += (self.centre_product - centre @ centre)[None, :]
+        guess += (units @ centre)[:, None]
+        return guess, norm[:, None] * (bound * self.error * self.norm)[None, :] + 1e-4
 
 
 def search_block(queries: np.ndarray, base: np.ndarray, codes: Codes, centre: np.ndarray, turn: np.ndarray, own: np.ndarray, k: int, bound: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (number, numbers in base of its best k, their inner products). own: its number in base or -1."""
-    tile = max(1, 1_500_000 // max(1, len(base)))
+    tile, signs = max(1, 500_000 // max(1, len(base))), codes.signs()
     for at in range(0, len(queries), tile):
-        part, mine = queries[at : at + tile], own[at : at + tile]
-        guess, error = codes.estimate(part, centre, turn, bound)
+        part, mine = queries[at : at + tile].astype(np.float32), own[at : at + tile]
+        guess, error = codes.estimate(part, centre, turn, bound, signs)
         here = np.flatnonzero(mine >= 0)
         lower = guess - error
         lower[here, mine[here]] = -4
@@ -134,7 +123,7 @@ def search_block(queries: np.ndarray, base: np.ndarray, codes: Codes, centre: np
         chosen[here, mine[here]] = False
         for i in range(len(part)):
             near = np.flatnonzero(chosen[i])
-            exact = base[near] @ part[i]
+            exact = base[near] @ queries[at + i]
             if len(near) > k:
                 top = np.argpartition(-exact, k - 1)
                 limit = exact[top[k - 1]]
@@ -151,12 +140,12 @@ def usable(rows: DataFrame, dims: int) -> DataFrame:
 
 
 def nearest(
-    rows: DataFrame, k: int = 5, dims: int = 384, cell_rows: int = 1000, block_rows: int = 4000, margin: float = 0.02, probes: int = 4,
+    rows: DataFrame, k: int = 5, dims: int = 384, cell_rows: int = 200, block_rows: int = 4000, margin: float = 0.02, probes: int = 4,
     sample_rows: int = 20_000, bound: float = 1.9, seed: int = 7,
 ) -> DataFrame:
     """(key, other, similarity): for every key of rows (key, vec) its k most similar others, found with the index.
 
-    sample_rows bounds the sample the centres are fitted on; cells beyond one for every 16 of its rows aren't made.
+    sample_rows bounds the sample the centres are fitted on; centres beyond one for every 16 of its rows aren't made.
     """
     good = usable(rows.select("key", "vec"), dims)
     n = good.count()
@@ -184,10 +173,10 @@ def nearest(
             yield pd.DataFrame({"cell": order[row, rank].astype("int32"), "home": rank == 0, "key": keys[row], "blob": blobs[row]})
 
     placed = good.mapInPandas(assign, "cell int, home boolean, key string, blob binary")
-    # cells larger than a block are split: base rows to one block each, queries to a block and every base block
-    placed = written(placed, "cells")
-    sizes = placed.groupBy("cell").agg(F.count_if("home").alias("base"), F.count("*").alias("all")).collect()  # a row a cell
-    blocks = {r["cell"]: (max(1, -(-r["base"] // block_rows)), max(1, -(-r["all"] // (2 * block_rows)))) for r in sizes}
+    # cells larger than a block are split: base rows to one block each, queries to a block and every base block. Sizes are
+    # estimated from the sample; an estimate that is off makes blocks smaller or larger, never another result.
+    mine = np.bincount((drawn @ centres.T).argmax(1), minlength=len(centres)) * (n / len(drawn))
+    blocks = {c: (max(1, math.ceil(m / block_rows)), max(1, math.ceil(m / block_rows))) for c, m in enumerate(mine)}
     split = {c: b for c, b in blocks.items() if b != (1, 1)}
     salt = F.pmod(F.xxhash64("key"), F.lit(1 << 30)).cast("int")
     if split:
