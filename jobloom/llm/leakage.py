@@ -70,6 +70,13 @@ def window_hashes(tokens: list[str], width: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+def among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(hashes), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 class Templates:
     """The common wording of a table of items."""
 
@@ -115,9 +122,9 @@ def _windows(docs: DataFrame, items: DataFrame, width: int, text: str, key: str,
                     continue
                 by_words = window_hashes(ws, width)
                 for hashes in (window_hashes([slot(w, templates.common) for w in ws], width), by_words):
-                    meets = np.isin(hashes, known) if thin else np.ones(len(hashes), dtype=bool)
+                    meets = among(hashes, known) if thin else np.ones(len(hashes), dtype=bool)
                     if exact and thin:
-                        meets &= np.isin(by_words, slots)
+                        meets &= among(by_words, slots)
                     out += [(k, int(hashes[i]), int(by_words[i]), ws[i : i + width]) for i in np.flatnonzero(meets)]
             yield pd.DataFrame(out, columns=[key, "h", "w", "doc_words"])
 
