@@ -29,12 +29,13 @@ from jobloom.tables import rows_of
 UNITS = set("second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros pound pounds crown crowns km kilometres miles kg grams litres".split())
 MAX_ITEMS = 100_000  # size bound of the table of items
 MAX_HASHES = 5_000_000  # beyond it documents' windows aren't thinned before the join
+MARKS = re.compile(r"[^\w\s]+|_+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
     """Words of a text: letters and digits of what stands between white space, in lower case."""
-    return [w for w in (re.sub(r"[\W_]+", "", t) for t in text.lower().split()) if w]
+    return MARKS.sub("", text.lower()).split()
 
 
 def slot(word: str, common: set[str]) -> str:
