@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as JavaScript defines it; \s of Java lacks the last ones.
-SPACE = r"[\s\x0B   -     　﻿]"
+SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def java(pattern: str) -> str:

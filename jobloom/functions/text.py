@@ -93,7 +93,7 @@ def url_domain(url: Column) -> Column:
 
 
 def clean_url(url: Column) -> Column:
-    return F.regexp_replace(js.trim(url), "[\\r\\n\\t​-‍﻿]", "")
+    return F.regexp_replace(js.trim(url), r"[\r\n\t\u200B-\u200D\uFEFF]", "")
 
 
 def apply_fallback(apply_url: Column, source_url: Column) -> Column:

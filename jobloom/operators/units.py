@@ -69,7 +69,7 @@ FILLERS = [
 NOT_PAY_AFTER = r"%|percent|(?:paid |annual )?(?:holidays?|leave|vacation|bonus|pension|equity|match)\b|(?:[a-z]+\.? )?(?:holidays?|leave|vacation|contract|contrato|vertrag)\b|(?:hours?|hrs?|h|days?|d)(?: (?:per|a)|/)\s?(?:week|wk|day|month|year)\b|\(k\)|st\b|nd\b|rd\b|th\b"
 NOT_PAY_BEFORE = r"\b(?:grade|level|band|step|tier|top|no\.?|nr\.?|ref\.?|tvöd|entgeltgruppe|bonus|equity|pension|hours|leave|holiday)[\s:#-]*[a-z]?$|(?<![a-z])[a-z]$"
 
-NUMBER = re.compile(r"\d{1,3}(?:[   ']\d{3})+(?![\d])(?:[.,]\d{1,2}(?!\d))?|\d+(?:[.,]\d+)*")
+NUMBER = re.compile(r"\d{1,3}(?:[ \u00a0\u2009\u202f']\d{3})+(?![\d])(?:[.,]\d{1,2}(?!\d))?|\d+(?:[.,]\d+)*")
 BREAK = re.compile(r"[,;(+]|\bplus\b")
 OPEN_END = re.compile(r"(?<=[0-9a-z])\+")  # "20k+": the amount is a lower bound, it states the one number
 FILLER_WORDS = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(FILLERS, key=len, reverse=True))) + r")\b")
@@ -141,7 +141,7 @@ def segment(text: str, behind_number: bool, before_number: bool) -> tuple[float,
 
             if not ch.isalpha() and ch not in "$€£₦₵¥₹/":
                 # a dot keeps "p." and "p.m." together; other punctuation ends a unit
-                put(i + 1, last if ch in " .'’ " else "start" if last not in ("number",) else last, score - 0.01, None)
+                put(i + 1, last if ch in " .'\u2019\u00a0" else "start" if last not in ("number",) else last, score - 0.01, None)
             else:
                 put(i + 1, "unknown", score - (1.5 if last == "unknown" and not word_start else 4.0), None)
             for j, (word, kind, dim, value) in TRIE.matches(text, i):
@@ -157,7 +157,7 @@ def segment(text: str, behind_number: bool, before_number: bool) -> tuple[float,
                 elif kind == "root" and dim == "currency":
                     cost = 0.3
                     if len(word) == 1 and alpha:
-                        if not (before_number and not text[j:].strip("  ")):
+                        if not (before_number and not text[j:].strip()):
                             continue
                         cost = 0.8
                 elif kind == "root":
@@ -191,7 +191,7 @@ def segment(text: str, behind_number: bool, before_number: bool) -> tuple[float,
 
 def parse_number(raw: str, scaled: bool) -> float:
     """A number in any of the usual styles. Three digits behind a single dot are thousands unless a scale follows."""
-    s = re.sub(r"[   ']", "", raw)
+    s = re.sub(r"[ \u00a0\u2009\u202f']", "", raw)
     if "." in s and "," in s:
         dec = max(s.rfind("."), s.rfind(","))
         return float(re.sub(r"[.,]", "", s[:dec]) + "." + s[dec + 1:])
