@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobloom.operators import timestamps, units
+from jobloom.plans import reference
 from jobloom.session import shared_dir
 from jobloom.tables import table
 
@@ -22,8 +23,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p6_found": p6_found} | reference.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return reference.oracle_sql()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,3 +66,8 @@ def blank_to_null(col: Column) -> Column:
 def rounded(col: Column, digits: int = 0) -> Column:
     """Half up, towards positive infinity."""
     return F.floor(col * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

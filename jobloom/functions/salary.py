@@ -25,49 +25,80 @@ CODES = {w: c for w, c in PREFIXES if re.fullmatch("[a-z]{3}", w)}
 RANGE = r"(?:[$€£₦¥]\s*)?(\d{1,3}(?:[kKmMBb])?)\s*(?:[-–to]|to)\s*(?:[$€£₦¥]\s*)?(\d{1,3}(?:[kKmMBb])?)"
 
 
-def _number(text: Column) -> Column:
-    cleaned = js.trim(F.regexp_replace(text, r"(?i)[$,€£¥₦₵R\s]", ""))
-    n = js.blank_to_null(F.regexp_extract(cleaned, r"(?i)^(\d+(?:\.\d+)?)(k|m|b)?\z", 1)).try_cast("double")
-    unit = F.lower(F.regexp_extract(cleaned, r"(?i)^(\d+(?:\.\d+)?)(k|m|b)?\z", 2))
-    return F.floor(n * F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0) + 0.5)
+def _number(value: Column) -> Column:
+    form = r"(?i)^(\d+(?:\.\d+)?)(k|m|b)?\z"
 
+    def read(cleaned: Column) -> Column:
+        unit = F.lower(F.regexp_extract(cleaned, form, 2))
+        n = js.blank_to_null(F.regexp_extract(cleaned, form, 1)).try_cast("double")
+        return F.floor(n * F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0) + 0.5)
 
-def parse(raw: Column) -> Column:
-    """struct<min, max, currency, period, type, confidence>."""
-    t = js.trim(raw)
-    low = F.lower(t)
-    prefix, cut = F.lit(None).cast("string"), F.lit(0)
-    for word, code in reversed(PREFIXES):
-        here = F.startswith(low, F.lit(word))
-        prefix, cut = F.when(here, F.lit(code)).otherwise(prefix), F.when(here, F.lit(len(word))).otherwise(cut)
+    return js.let(js.trim(F.regexp_replace(value, r"(?i)[$,€£¥₦₵R\s]", "")), read)
+
+
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for p in pairs.items() for x in p])
+
+
+def _split_currency(t: Column) -> Column:
+    """struct<code, rest>: a leading currency word, the first of the list that fits, else a trailing code."""
+    word = F.regexp_extract(F.lower(t), "^(" + "|".join(re.escape(w) for w, _ in PREFIXES) + ")", 1)
     last = F.lower(F.regexp_extract(t, r"(?<![A-Za-z0-9_])([A-Za-z]{3})\s*\z", 1))
-    codes = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
-    trailing = F.when(prefix.isNull(), F.try_element_at(codes, last))
-    currency = F.coalesce(prefix, trailing)
-    rest = F.when(prefix.isNotNull(), js.trim(F.substring(t, cut + 1, F.length(t)))).when(trailing.isNotNull(), js.trim(F.regexp_replace(t, r"[A-Za-z]{3}\s*\z", ""))).otherwise(t)
-    period, after = F.lit("year"), rest
-    for word, name in reversed(PERIOD_ORDER):
-        there = F.contains(F.lower(rest), F.lit(word))
-        at = F.instr(F.lower(rest), word)
-        period = F.when(there, F.lit(name)).otherwise(period)
-        after = F.when(there, js.trim(F.concat(F.substring(rest, F.lit(1), at - 1), F.substring(rest, at + len(word), F.length(rest))))).otherwise(after)
+    code, tail = F.try_element_at(_map(dict(PREFIXES)), word), F.try_element_at(_map(CODES), last)
+    rest = F.when(word != "", js.trim(F.substring(t, F.length(word) + 1, F.length(t)))).when(tail.isNotNull(), js.trim(F.regexp_replace(t, r"[A-Za-z]{3}\s*\z", ""))).otherwise(t)
+    return F.struct(F.coalesce(code, tail).alias("code"), rest.alias("rest"))
+
+
+def _split_period(rest: Column) -> Column:
+    """struct<period, rest>: the first period word of the list that occurs, taken out once."""
+    word = F.get(F.filter(F.array(*[F.lit(w) for w, _ in PERIOD_ORDER]), lambda w: F.contains(F.lower(rest), w)), F.lit(0))
+
+    def cut(w: Column) -> Column:
+        at = F.position(w, F.lower(rest))
+        left = F.when(w.isNull(), rest).otherwise(js.trim(F.concat(F.substring(rest, F.lit(1), at - 1), F.substring(rest, at + F.length(w), F.length(rest)))))
+        return F.struct(F.coalesce(F.try_element_at(_map(dict(PERIOD_ORDER)), w), F.lit("year")).alias("period"), left.alias("rest"))
+
+    return js.let(word, cut)
+
+
+def _amounts(after: Column) -> Column:
+    """struct<min, max, confidence> of what is left."""
     c = F.regexp_replace(after, r"(?i)/\s*(hr|hrs|hour|day|wk|week|mo|month|yr|year|annual)", "")
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)per\s+(hour|day|week|month|year|annum)", ""), r"p\.?\s*[aA]", "")
     c = js.trim(F.replace(c, F.lit(","), F.lit("")))
-    lo, hi = _number(F.regexp_extract(c, RANGE, 1)), _number(F.regexp_extract(c, RANGE, 2))
-    ranged = F.coalesce(hi >= lo, F.lit(False))
-    s = js.trim(F.regexp_replace(c, r"(?i)[$,€£¥₦₵R\s]", ""))
-    single = _number(F.regexp_extract(s, r"(\d{4,}|\d{1,3}[kKmMbB])", 1))
-    loose = _number(F.regexp_extract(s, r"(\d+(?:\.\d+)?[kKmMbB]?)", 1))
-    low_n, high_n = F.when(ranged, lo).otherwise(F.coalesce(single, loose)), F.when(ranged, hi).otherwise(F.coalesce(single, loose))
-    sure = F.when(ranged, F.when(hi - lo < 200000, "high").otherwise("medium")).when(single.isNotNull(), "high").when(loose.isNotNull(), "medium").otherwise("low")
-    kind = F.when(F.contains(low, F.lit("commission")), "commission").when(js.contains_any(low, ["starting", "from"]), "starting").when(js.contains_any(low, ["-", "–", "to"]), "range").otherwise("unspecified")
-    none, blank = low_n.isNull(), F.coalesce(F.length(t), F.lit(0)) == 0
-    return F.struct(
-        F.when(~blank, low_n.cast("bigint")).alias("min"), F.when(~blank, high_n.cast("bigint")).alias("max"),
-        F.when(~blank, F.when(none, currency).otherwise(F.coalesce(currency, F.lit("USD")))).alias("currency"),
-        F.when(blank, "unknown").otherwise(period).alias("period"), F.when(blank | none, "unspecified").otherwise(kind).alias("type"), F.when(blank, "low").otherwise(sure).alias("confidence"),
-    )
+
+    def numbers(c: Column) -> Column:
+        s = js.trim(F.regexp_replace(c, r"(?i)[$,€£¥₦₵R\s]", ""))
+        return F.struct(
+            _number(F.regexp_extract(c, RANGE, 1)).alias("lo"), _number(F.regexp_extract(c, RANGE, 2)).alias("hi"),
+            _number(F.regexp_extract(s, r"(\d{4,}|\d{1,3}[kKmMbB])", 1)).alias("one"), _number(F.regexp_extract(s, r"(\d+(?:\.\d+)?[kKmMbB]?)", 1)).alias("any"),
+        )
+
+    def choose(n: Column) -> Column:
+        ranged, single = F.coalesce(n["hi"] >= n["lo"], F.lit(False)), F.coalesce(n["one"], n["any"])
+        sure = F.when(ranged, F.when(n["hi"] - n["lo"] < 200000, "high").otherwise("medium")).when(n["one"].isNotNull(), "high").when(n["any"].isNotNull(), "medium").otherwise("low")
+        return F.struct(F.when(ranged, n["lo"]).otherwise(single).cast("bigint").alias("min"), F.when(ranged, n["hi"]).otherwise(single).cast("bigint").alias("max"), sure.alias("confidence"))
+
+    return js.let(c, lambda c: js.let(numbers(c), choose))
+
+
+def parse(raw: Column) -> Column:
+    """struct<min, max, currency, period, type, confidence>."""
+
+    def whole(t: Column) -> Column:
+        return js.let(_split_currency(t), lambda m: js.let(_split_period(m["rest"]), lambda p: js.let(_amounts(p["rest"]), lambda a: put(t, m, p, a))))
+
+    def put(t: Column, money: Column, period: Column, a: Column) -> Column:
+        low, none = F.lower(t), a["min"].isNull()
+        kind = F.when(F.contains(low, F.lit("commission")), "commission").when(js.contains_any(low, ["starting", "from"]), "starting").when(js.contains_any(low, ["-", "–", "to"]), "range").otherwise("unspecified")
+        blank = F.coalesce(F.length(t), F.lit(0)) == 0
+        return F.struct(
+            F.when(~blank, a["min"]).alias("min"), F.when(~blank, a["max"]).alias("max"),
+            F.when(~blank, F.when(none, money["code"]).otherwise(F.coalesce(money["code"], F.lit("USD")))).alias("currency"),
+            F.when(blank, "unknown").otherwise(period["period"]).alias("period"), F.when(blank | none, "unspecified").otherwise(kind).alias("type"), F.when(blank, "low").otherwise(a["confidence"]).alias("confidence"),
+        )
+
+    return js.let(js.trim(raw), whole)
 
 
 def show(low: Column, high: Column, currency: Column, period: Column, kind: Column, confidence: Column, raw: Column) -> Column:

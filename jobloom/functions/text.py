@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,10 +54,13 @@ def format_description(text: Column, cap: int = 4000) -> Column:
 
 
 def infer_skills(text: Column) -> Column:
-    """Keywords that occur as words, in the order of the list."""
-    import re
-
-    found = [F.when(js.matches(text, rf"\b{re.escape(k)}\b"), F.lit(k)) for k in SKILL_KEYWORDS]
+    """Keywords that occur as words, in the order of the list. A keyword that ends in a symbol needs a letter or digit behind it."""
+    low = F.lower(text)
+    found = []
+    for k in SKILL_KEYWORDS:
+        end = "(?![A-Za-z0-9_])" if k[-1].isalnum() else "(?=[A-Za-z0-9_])"
+        word = F.rlike(low, F.lit(f"(?<![A-Za-z0-9_]){re.escape(k)}{end}"))
+        found.append(F.when(F.contains(low, F.lit(k)) & word, F.lit(k)))  # most keywords fail the cheap test
     return F.array_compact(F.array(*found))
 
 
@@ -177,14 +182,20 @@ def quality_grade(score: Column) -> Column:
 
 def clean_description(text: Column, site: Column | None = None) -> Column:
     """struct<clean, score, grade, usable>: section or furniture-free text, white space normalised, scored."""
-    raw = js.trim(F.coalesce(text, F.lit("")))
-    body = chrome_filter(raw) if site is None else F.coalesce(F.when(F.contains(F.lower(site), F.lit("himalayas")), section_extract(raw)), chrome_filter(raw))
-    clean = js.trim(F.regexp_replace(F.regexp_replace(body, r"\n{4,}", "\n\n\n"), r"[ \t]+", " "))
-    signals = pollution(clean)
-    rejected = ~job_specific(clean) & (F.length(clean) < 300)
-    score = F.when(F.length(raw) == 0, 0).when(rejected, F.greatest(F.lit(0), F.lit(30) - F.size(signals) * 5)).otherwise(quality_score(clean, signals)).cast("int")
-    grade = F.when(rejected | (F.length(raw) == 0), "reject").otherwise(quality_grade(score))
-    return F.struct(clean.alias("clean"), score.alias("score"), grade.alias("grade"), (~rejected & (score >= 55) & (F.length(raw) > 0)).alias("usable"))
+
+    def cleaned(raw: Column) -> Column:
+        kept = chrome_filter(raw) if site is None else F.coalesce(F.when(F.contains(F.lower(site), F.lit("himalayas")), section_extract(raw)), chrome_filter(raw))
+        clean = js.trim(F.regexp_replace(F.regexp_replace(kept, r"\n{4,}", "\n\n\n"), r"[ \t]+", " "))
+        return js.let(clean, lambda c: js.let(pollution(c), lambda signals: scored(raw, c, signals)))
+
+    def scored(raw: Column, clean: Column, signals: Column) -> Column:
+        rejected = ~job_specific(clean) & (F.length(clean) < 300)
+        score = F.when(F.length(raw) == 0, 0).when(rejected, F.greatest(F.lit(0), F.lit(30) - F.size(signals) * 5)).otherwise(quality_score(clean, signals)).cast("int")
+        return js.let(F.struct(score.alias("s"), (rejected | (F.length(raw) == 0)).alias("r")), lambda x: F.struct(
+            clean.alias("clean"), x["s"].alias("score"), F.when(x["r"], "reject").otherwise(quality_grade(x["s"])).alias("grade"), (~x["r"] & (x["s"] >= 55)).alias("usable")
+        ))
+
+    return js.let(js.trim(F.coalesce(text, F.lit(""))), cleaned)
 
 
 def quality_gate(score: Column, clean: Column, title: Column, company: Column, least_score: int = 50, least_length: int = 100) -> Column:
