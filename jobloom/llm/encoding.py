@@ -158,7 +158,9 @@ def is_clean(text: str) -> bool:
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 600) -> ChainModel:
     """A model from at most sample_docs texts with non-ASCII characters, of which those without garbled runs are used."""
-    seen = docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).orderBy(F.xxhash64(key), key).limit(sample_docs).select(text).collect()
+    share = max(1, docs.count() // (20 * sample_docs))
+    some = docs.where(F.col(text).rlike(r"[^\x00-\x7f]") & (F.pmod(F.xxhash64(F.lit(7), key), F.lit(share)) == 0))
+    seen = some.limit(sample_docs).select(text).collect()
     return ChainModel([t for (t,) in seen if is_clean(t)])
 
 
