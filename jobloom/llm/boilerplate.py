@@ -176,7 +176,7 @@ def page_furniture(pages: DataFrame, text: str = "description", key: str = "id",
                     numbers.append(n)
             if len(cache) > 300_000:
                 cache.clear()
-            yield pd.DataFrame({key: keys, "line_no": pd.Series(numbers, dtype="int32")})
+            yield pd.DataFrame({key: pd.Series(keys, dtype=object), "line_no": pd.Series(numbers, dtype="int32")})
 
     several = pages.where(F.instr(F.col(text), "\n") > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
     return several.mapInPandas(scan, f"{key} {kind}, line_no int")

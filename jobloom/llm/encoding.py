@@ -180,7 +180,7 @@ def restored(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_do
                     keys.append(k)
                     texts.append(got[0] if got[1] else None)
                     sizes.append(len(got[0]) if got[1] else 0)
-            yield pd.DataFrame({key: keys, "restored_text": pd.Series(texts, dtype=object), "restored_chars": pd.Series(sizes, dtype="int64")})
+            yield pd.DataFrame({key: pd.Series(keys, dtype=object), "restored_text": pd.Series(texts, dtype=object), "restored_chars": pd.Series(sizes, dtype="int64")})
 
     part = docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("k"), F.col(text).alias("t"))
     return part.mapInPandas(repair, f"{key} {kind}, restored_text string, restored_chars bigint")

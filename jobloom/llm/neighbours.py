@@ -201,7 +201,7 @@ def nearest(
         is_base, is_query = pdf["is_base"].to_numpy(bool), pdf["is_query"].to_numpy(bool)
         base_at = np.flatnonzero(is_base)
         if not len(base_at):
-            return pd.DataFrame({"key": [], "others": [], "sims": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("key", "others", "sims")})
         small = unit.astype(np.float32)
         codes = Codes(small[base_at], centre, turn)
         number = np.full(len(keys), -1)
@@ -215,7 +215,7 @@ def nearest(
             out_k.append(keys[q[i]])
             out_o.append([names[j] for j in order])
             out_s.append([float(sims[j]) for j in order])
-        return pd.DataFrame({"key": out_k, "others": out_o, "sims": out_s})
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in (("key", out_k), ("others", out_o), ("sims", out_s))})
 
     found = spread.groupBy("cell", "bb", "qb").applyInPandas(scan, "key string, others array<string>, sims array<double>")
     # merged per query: at most probes * blocks lists of k
