@@ -151,7 +151,7 @@ DICTIONARY = "raw string, tz_name string, day_first boolean, kind string, second
 def _parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = [parse_instant(r, t if isinstance(t, str) else None, d is True or d == 1) for r, t, d in zip(pdf.raw, pdf.tz_name, pdf.day_first, strict=True)]
-        yield pdf.assign(kind=[g[0] if g else None for g in got], seconds=pd.array([g[1] if g else None for g in got], dtype="Int64"))
+        yield pdf.assign(kind=pd.Series([g[0] if g else None for g in got], dtype=object, index=pdf.index), seconds=pd.array([g[1] if g else None for g in got], dtype="Int64"))
 
 
 def build_dictionary(combos: DataFrame, store: str | None = None) -> DataFrame:

@@ -377,8 +377,8 @@ QUERIES["abs_date"] = lambda s, dd: table(s, dd, "jobs").select("id", us(dates.a
 QUERIES["abs_age"] = lambda s, dd: table(s, dd, "jobs").select("id", F.round(dates.absolute_age(C("posted_date"), as_of()), 6).alias("days"))
 ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}Z)?$"
 iso_only = lambda: F.when(F.rlike("posted_date", F.lit(ISO)) | dates.relative_age(C("posted_date")).isNotNull(), C("posted_date"))
-ABS = f"CASE WHEN regexp_matches(posted_date, '{ISO}') THEN (epoch_ms({TS}) - epoch_ms(try_cast(rtrim(posted_date, 'Z') AS TIMESTAMP))) / 86400000.0 END"
-jobs_query("posted_age", lambda: {"days": F.round(dates.posted_age(iso_only(), as_of()), 6)}, f"round(coalesce({REL}::DOUBLE, {ABS}), 6) AS days")
+ABS = f"CASE WHEN regexp_matches(posted_date, '{ISO}') THEN (epoch_ms({TS}) - epoch_ms(try_cast(rtrim(posted_date, 'Z') AS TIMESTAMP))) / 86400000.0::DOUBLE END"
+jobs_query("posted_age", lambda: {"days": F.round(dates.posted_age(iso_only(), as_of()), 3)}, f"round(coalesce({REL}::DOUBLE, {ABS}), 3) AS days")
 jobs_query("stale_flag", lambda: {"stale": F.coalesce(dates.posted_age(iso_only(), as_of()) > 60, F.lit(False))}, f"coalesce(coalesce({REL}::DOUBLE, {ABS}) > 60, false) AS stale")
 QUERIES["posted_date_by_source"] = lambda s, dd: table(s, dd, "jobs").select("id", F.coalesce(dates.relative_date(C("posted_date"), as_of()).cast("timestamp"), dates.absolute_instant(C("posted_date"))).cast("date").cast("string").alias("day"))
 WAITS = [("Rate limit, try again in 2h3m4.5s",), ("wait 10s",), ("try again in 1h",), ("7m then",), ("later",)]
@@ -485,7 +485,7 @@ def feed_union_dedup(s, dd):
 
 DEC = f"""WITH a AS (SELECT *, coalesce({MARKET} AND length(company) > 0, false) junk, CASE WHEN regexp_matches(posted_date, '{ISO}') THEN posted_date END pd FROM jobs),
 r AS (SELECT *, CASE WHEN {URL} IS NOT NULL THEN row_number() OVER (PARTITION BY {URL} ORDER BY CASE WHEN pd IS NOT NULL THEN epoch_us(try_cast(rtrim(pd, 'Z') AS TIMESTAMP)) // 1000 ELSE 0 END DESC, crawled_at DESC, id) END k FROM a WHERE NOT junk),
-z AS (SELECT *, {FMT} fd FROM r), x AS (SELECT id, CASE WHEN k > 1 THEN 'duplicate' WHEN coalesce((epoch_ms({TS}) - epoch_ms(try_cast(rtrim(pd, 'Z') AS TIMESTAMP))) / 86400000.0 > 60, false) THEN 'prune'
+z AS (SELECT *, {FMT} fd FROM r), x AS (SELECT id, CASE WHEN k > 1 THEN 'duplicate' WHEN coalesce((epoch_ms({TS}) - epoch_ms(try_cast(rtrim(pd, 'Z') AS TIMESTAMP))) / 86400000.0::DOUBLE > 60, false) THEN 'prune'
 WHEN fd <> {D_} OR {FLAG.replace(D_, 'fd')} <> {ENUM} OR {APPLY} <> coalesce({d.trim('apply_url')}, '') OR NOT coalesce(len(skills) > 0, false) OR coalesce({d.trim('source_site')}, '') <> coalesce({NORM_SITE('source_site')}, '') THEN 'update' ELSE 'keep' END action FROM z UNION ALL SELECT id, 'junk' FROM a WHERE junk)"""
 
 

@@ -95,7 +95,7 @@ def read_pages(pages: DataFrame, tight: bool = True) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"url": pdf.url, "text": [page_text(h, tight) for h in pdf.html], "links": [page_links(h, u, tight) for h, u in zip(pdf.html, pdf.url, strict=True)]})
+            yield pd.DataFrame({"url": pdf.url, "text": pd.Series([page_text(h, tight) for h in pdf.html], dtype=object, index=pdf.index), "links": pd.Series([page_links(h, u, tight) for h, u in zip(pdf.html, pdf.url, strict=True)], dtype=object, index=pdf.index)})
 
     return pages.select("url", "html").where(F.col("url").isNotNull()).mapInPandas(parse, "url string, text string, links array<string>")
 
