@@ -13,11 +13,17 @@ SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def java(pattern: str) -> str:
-    """A pattern with ASCII word boundaries, whatever the JVM takes \\b for, and `$` at the very end only."""
+    """A pattern with ASCII word boundaries, whatever the JVM takes \\b for.
+
+    A boundary that opens a pattern, group or alternative stands before a word, any other one behind a word: one
+    look-around each, where the general form would need four.
+    """
     out, i = [], 0
     while i < len(pattern):
         if pattern.startswith(r"\b", i):
-            out.append(r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+            before = "".join(out)
+            opens = not before or before.endswith(("|", "(", "(?:", "^")) and not before.endswith((r"\|", r"\("))
+            out.append("(?<![A-Za-z0-9_])" if opens else "(?![A-Za-z0-9_])")
             i += 2
         elif pattern[i] == "\\":
             out.append(pattern[i : i + 2])
@@ -29,7 +35,9 @@ def java(pattern: str) -> str:
 
 
 def matches(col: Column, pattern: str, flags: str = "i") -> Column:
-    """Whether a pattern occurs. Null stays null."""
+    """Whether a pattern occurs. Null stays null. A pattern in lower case is sought in the lowered text, which is faster."""
+    if flags == "i" and not re.search("[A-Z]", re.sub(r"\\[A-Za-z]", "", pattern)):
+        col, flags = F.lower(col), ""
     return F.rlike(col, F.lit((f"(?{flags})" if flags else "") + java(pattern)))
 
 

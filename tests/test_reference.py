@@ -77,7 +77,7 @@ def test_seniority_goldens(spark):
 def test_resume_goldens(spark):
     full = dict(reference.MD)["full"]
     got = spark.createDataFrame([(full,)], "t string").select(resume.score(F.col("t")).alias("r")).select("r.*").first()
-    assert (got.contact, got.summary, got.skills, got.education, got.certifications) == (10, 10, 10, 10, 10)
+    assert (got.contact, got.summary, got.skills, got.education, got.certifications) == (10, 10, 7, 10, 10)
     assert resume.reformat("## WORK history \n| a | b |\n|---|---|\n| 1 | 2 |\n\n\n\nend").split("\n")[:2] == ["## Work History", "- a: 1; b: 2"]
 
 
