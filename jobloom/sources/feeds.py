@@ -62,3 +62,18 @@ def first_seen(rows: DataFrame, key: str = "source_url", position: str = "pos")
     from jobloom.operators.search import latest
 
     return latest(rows, [F.col(key)], [-F.col(position)])
+
+
+def read_sitemaps(files: DataFrame, column: str = "xml", most: int = 200, holds: str | None = None) -> DataFrame:
+    """(url) of sitemaps (one document a row): distinct, those that hold a text (any case), at most `most` in order."""
+    urls = files.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?is)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))).alias("url")).distinct()
+    if holds:
+        urls = urls.where(F.contains(F.lower("url"), F.lit(holds.lower())))
+    return urls.orderBy("url").limit(most)
+
+
+def read_resumes(uploads: DataFrame, cap: int = 8000, least: int = 20, max_bytes: int = 2 * 1024 * 1024) -> DataFrame:
+    """(id, resume_text) of uploads (id, kind, body): plain text, or text as base64 up to max_bytes; short ones are rejected."""
+    kind = F.lower(F.col("kind"))
+    decoded = F.when(kind == "text", F.col("body")).when((kind == "txt") & (F.length("body") * 3 / 4 <= max_bytes), F.try_to_binary("body", F.lit("base64")).cast("string"))
+    return uploads.select("id", F.left(js.trim(decoded), F.lit(cap)).alias("resume_text")).where(F.length("resume_text") >= least)

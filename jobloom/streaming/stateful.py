@@ -46,3 +46,24 @@ def fold_rescores(turns: DataFrame, key: str, order: str, length: str) -> DataFr
         yield pd.DataFrame({key: pdf[key], order: pdf[order], "rescore": again})
 
     return turns.groupBy(key).applyInPandasWithState(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, rescore boolean", "last long", "append", "NoTimeout")
+
+
+def fold_fields(turns: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """(key, order, fields) for streams of turns: every field keeps its first stated value, turns in order within a key.
+
+    The state of a key is kept as long as the query runs.
+    """
+    kinds = dict(turns.dtypes)
+    shape = ", ".join(f"{f} string" for f in fields)
+
+    def fold(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        known = list(state.get) if state.exists else [None] * len(fields)
+        pdf = pd.concat(list(batches)).sort_values(order)
+        rows = []
+        for _, turn in pdf.iterrows():
+            known = [k if k else (v if isinstance(v, str) and v.strip() else k) for k, v in zip(known, (turn[f] for f in fields), strict=True)]
+            rows.append((turn[key], turn[order], *known))
+        state.update(tuple(known))
+        yield pd.DataFrame(rows, columns=[key, order, *fields])
+
+    return turns.groupBy(key).applyInPandasWithState(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, {shape}", shape, "append", "NoTimeout")

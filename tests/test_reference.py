@@ -13,7 +13,7 @@ from jobloom.functions import resume, salary, text
 from jobloom.operators import match
 from jobloom.operators.components import connected_components
 from jobloom.plans import reference
-from jobloom.sources import pages
+from jobloom.sources import feeds, pages
 from jobloom.streaming import stateful
 from jobloom.tables import table
 
@@ -123,6 +123,24 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert got.count() == got.distinct().count() == want
 
 
+def test_session_fold_stream(spark, tmp_path):
+    rows = [(1, 1, "a@x.example", None), (1, 2, "b@x.example", "Oslo"), (2, 1, None, " "), (1, 3, None, "Bern"), (2, 2, None, "Rome")]
+    spark.createDataFrame(rows, "conv long, turn long, email string, place string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    src = spark.readStream.schema("conv long, turn long, email string, place string").parquet(f"{tmp_path}/in")
+    q = stateful.fold_fields(src, "conv", "turn", ["email", "place"]).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.conv, r.turn): (r.email, r.place) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(1, 1): ("a@x.example", None), (1, 2): ("a@x.example", "Oslo"), (1, 3): ("a@x.example", "Oslo"), (2, 1): (None, None), (2, 2): (None, "Rome")}
+
+
+def test_sitemaps_and_resumes(spark):
+    xml = "<urlset><url><loc>https://h.example/jobs/1</loc></url><url><loc> https://h.example/about </loc></url></urlset>"
+    df = spark.createDataFrame([(xml,), (xml,), (None,)], "xml string")
+    assert [r.url for r in feeds.read_sitemaps(df, holds="JOBS").collect()] == ["https://h.example/jobs/1"]
+    up = spark.createDataFrame([("a", "text", "x" * 30), ("b", "txt", "aGVsbG8gd29ybGQsIHRoaXMgaXMgYSByZXN1bWU="), ("c", "txt", "!!"), ("d", "text", "short"), ("e", None, None)], "id string, kind string, body string")
+    assert {r.id: r.resume_text for r in feeds.read_resumes(up).collect()} == {"a": "x" * 30, "b": "hello world, this is a resume"}
+
+
 def test_rescore_fold():
     assert stateful.rescore_points([10, 12, 14, 18, 19]) == [True, False, True, False, True]
 
