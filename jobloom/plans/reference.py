@@ -376,10 +376,9 @@ jobs_query("rel_date", lambda: {"day": dates.relative_date(C("posted_date"), as_
 QUERIES["abs_date"] = lambda s, dd: table(s, dd, "jobs").select("id", us(dates.absolute_instant(C("posted_date"))).alias("instant_us"))
 QUERIES["abs_age"] = lambda s, dd: table(s, dd, "jobs").select("id", F.round(dates.absolute_age(C("posted_date"), as_of()), 6).alias("days"))
 ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}Z)?$"
-iso_only = lambda: F.when(F.rlike("posted_date", F.lit(ISO)) | dates.relative_age(C("posted_date")).isNotNull(), C("posted_date"))
 ABS = f"CASE WHEN regexp_matches(posted_date, '{ISO}') THEN (epoch_ms({TS}) - epoch_ms(try_cast(rtrim(posted_date, 'Z') AS TIMESTAMP))) / 86400000.0::DOUBLE END"
-jobs_query("posted_age", lambda: {"days": F.round(dates.posted_age(iso_only(), as_of()), 3)}, f"round(coalesce({REL}::DOUBLE, {ABS}), 3) AS days")
-jobs_query("stale_flag", lambda: {"stale": F.coalesce(dates.posted_age(iso_only(), as_of()) > 60, F.lit(False))}, f"coalesce(coalesce({REL}::DOUBLE, {ABS}) > 60, false) AS stale")
+jobs_query("posted_age", lambda: {"days": F.round(dates.posted_age(C("posted_date"), as_of()), 3)}, f"round(coalesce({REL}::DOUBLE, {ABS}), 3) AS days")
+jobs_query("stale_flag", lambda: {"stale": F.coalesce(dates.posted_age(C("posted_date"), as_of()) > 60, F.lit(False))}, f"coalesce(coalesce({REL}::DOUBLE, {ABS}) > 60, false) AS stale")
 QUERIES["posted_date_by_source"] = lambda s, dd: table(s, dd, "jobs").select("id", F.coalesce(dates.relative_date(C("posted_date"), as_of()).cast("timestamp"), dates.absolute_instant(C("posted_date"))).cast("date").cast("string").alias("day"))
 WAITS = [("Rate limit, try again in 2h3m4.5s",), ("wait 10s",), ("try again in 1h",), ("7m then",), ("later",)]
 N = lambda p: f"coalesce(try_cast(nullif(regexp_extract(msg, '{p}', 1), '') AS DOUBLE), 0)"
@@ -455,13 +454,9 @@ def usage_by_caller(s, dd):
 PLAIN = f"CASE WHEN regexp_matches(posted_date, '{ISO}') THEN epoch_us(try_cast(rtrim(posted_date, 'Z') AS TIMESTAMP)) // 1000 ELSE 0 END"
 
 
-def plain_dates(s, dd) -> DataFrame:
-    return table(s, dd, "jobs").withColumn("posted_date", F.when(F.rlike("posted_date", F.lit(ISO)), C("posted_date")))
-
-
 @query(f"WITH r AS (SELECT id, {URL} u, row_number() OVER (PARTITION BY {URL} ORDER BY {PLAIN} DESC, crawled_at DESC, id) k FROM jobs) SELECT id FROM r WHERE u IS NULL OR k = 1")
 def dedup_apply_url(s, dd):
-    return upkeep.newest_per_address(plain_dates(s, dd)).select("id")
+    return upkeep.newest_per_address(table(s, dd, "jobs")).select("id")
 
 
 @query("SELECT id, source_url FROM jobs QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY created_at, id) = 1")
@@ -491,7 +486,7 @@ WHEN fd <> {D_} OR {FLAG.replace(D_, 'fd')} <> {ENUM} OR {APPLY} <> coalesce({d.
 
 @query(f"{DEC} SELECT action, count(*) AS n FROM x GROUP BY action")
 def cleanup_counts(s, dd):
-    return upkeep.decisions(plain_dates(s, dd), AS_OF).groupBy("action").agg(F.count("*").alias("n"))
+    return upkeep.decisions(table(s, dd, "jobs"), AS_OF).groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query(f"{CLEAN} SELECT source_site, count(*) AS stored, count(*) FILTER (sc < 50) AS low_quality, count(*) FILTER ({REL} > 60) AS stale FROM y GROUP BY source_site")

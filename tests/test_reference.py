@@ -89,6 +89,35 @@ def test_pages():
     assert pages.allowed("User-agent: *\nDisallow: /private", "https://h.example/private/x") is False and pages.allowed(None, "/x")
 
 
+AT = 1767139200  # as_of, in seconds
+STATED = {
+    "2025-12-30": AT - 86400, f"{AT - 70 * 86400}": AT - 70 * 86400, f"{AT - 3600}123": AT - 3600 + 0.123, "Mon, 29 Dec 2025 10:00:00 +0100": AT - 2 * 86400 + 9 * 3600, "Oct 1, 2025": AT - 91 * 86400,
+    "December 1, 2025": AT - 30 * 86400, "2025-12-30T23:00:00-02:00": AT + 3600, "2025-12-30 01:00:00.250Z": AT - 82799.75, "Recently": None, None: None,
+}
+
+
+def test_every_readable_date_counts(spark, sf, tmp_path):
+    """The queries on posting dates against brute force over texts in every form that is read, and relative ones."""
+    first = table(spark, sf, "jobs").where("id is not null").limit(1)
+    texts = list(STATED) + ["3 months ago", "a week ago"]
+    urls = [f"https://apply.other.example/{i % 3}" for i in range(len(texts))]
+    made = spark.createDataFrame([(f"j{i:02}", t, u) for i, (t, u) in enumerate(zip(texts, urls, strict=True))], "id string, posted_date string, apply_url string")
+    plain = first.drop("id", "posted_date", "apply_url").withColumns({"title": F.lit("Data Engineer"), "company": F.lit("Acme Ltd"), "source_site": F.lit("feed.example"), "source_url": F.lit("https://feed.example/jobs/data-engineer"), "description": F.lit("Responsibilities and requirements: a data engineer who builds pipelines with us. " * 5), "crawled_at": F.lit(reference.AS_OF).cast("timestamp")})
+    made.crossJoin(plain).write.parquet(f"{tmp_path}/jobs.parquet")
+    age = {t: (AT - v) / 86400 for t, v in STATED.items() if v is not None} | {"3 months ago": 90.0, "a week ago": 7.0}
+    got = {n: {r.id: r[1] for r in reference.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("posted_age", "stale_flag")}
+    assert got["posted_age"] == {f"j{i:02}": round(age[t], 3) if t in age else None for i, t in enumerate(texts)}
+    assert got["stale_flag"] == {f"j{i:02}": age.get(t, 0) > 60 for i, t in enumerate(texts)}
+    best = {}
+    for i, (t, u) in enumerate(zip(texts, urls, strict=True)):
+        best[u] = max(best.get(u, (-1, 0)), (int((STATED.get(t) or 0) * 1000), -i))
+    kept = {-i for _, i in best.values()}
+    assert {r.id for r in reference.QUERIES["dedup_apply_url"](spark, str(tmp_path)).collect()} == {f"j{i:02}" for i in kept}
+    counts = {r.action: r.n for r in reference.QUERIES["cleanup_counts"](spark, str(tmp_path)).collect()}
+    stale = sum(age.get(texts[i], 0) > 60 for i in kept)
+    assert counts["duplicate"] == len(texts) - len(kept) and counts.get("prune", 0) == stale and sum(counts.values()) == len(texts)
+
+
 def test_search_stays_native_and_pruned(spark, sf):
     plan = reference.QUERIES["scan_recent"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan and "description" not in plan
