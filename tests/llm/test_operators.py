@@ -147,6 +147,24 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+JOB = "We are looking for a Data Engineer to strengthen our team in Oslo. You will work with data."
+
+
+def found_residue(spark, rows):
+    """rows: (id, title, description, source_url, source_site)."""
+    df = spark.createDataFrame(rows, "id string, title string, description string, source_url string, source_site string")
+    return {tuple(r) for r in residue.residue(df).select("id", "src_field").collect()}
+
+
+@pytest.mark.parametrize("last", [None, "12345", "данные-инженер", "data-engineer-7"])
+def test_titles_are_judged_whatever_the_address_says(spark, last):
+    url = last and f"https://h.example/jobs/{last}"
+    bad = ["Page not found", "Access denied", "asdf", "lorem ipsum", "Test", "xxxxxxx", "test 123", "Sample data engineer job: page not found", "Data engineer - do not publish"]
+    good = ["Test Data Engineer", "Bar Manager, data", "Title Examiner for data", "Data Engineer", "Engineer, test data"]
+    rows = [(f"{k}{i}", t, JOB, url, "h.example") for k, ts in (("bad", bad), ("good", good)) for i, t in enumerate(ts)]
+    assert found_residue(spark, rows) == {(f"bad{i}", "title") for i in range(len(bad))}
+
+
 # -- leakage ---------------------------------------------------------------------------------------------------------
 def test_leakage(spark, sf):
     items = table(spark, sf, "eval_items")
