@@ -80,15 +80,21 @@ def filler_share(words: list[str]) -> float:
     return n / len(words)
 
 
+def mostly_filler(words: list[str], title: bool) -> bool:
+    """Whether the words of a whole text are mostly filler."""
+    if len(words) <= 3:
+        return False
+    share = filler_share(words)
+    return share >= 0.8 or not title and len(words) > 8 and share >= 0.5 and sum(w in COMMON for w in words) <= 0.04 * len(words)
+
+
 def is_message(text: str, title: bool, opening: bool = True) -> bool:
     """Whether a text consists of filler, an error message or a demand to enable scripts. opening: a first word of filler is enough."""
     t = text.strip()
     words = WORD.findall(t.lower())
     if len(words) <= (8 if title else 45) and (ERRORS.search(t) or FILLERS.search(t) or OPENING.search(t) and (opening or all(w in FILLER_WORDS or w.isdigit() or set(w) == {"x"} for w in words))):
         return True
-    if not title and len(words) > 8 and filler_share(words) >= 0.5 and sum(w in COMMON for w in words) <= 0.04 * len(words):
-        return True
-    return bool(words) and len(words) > 3 and filler_share(words) >= 0.8
+    return mostly_filler(words, title)
 
 
 def slug_words(url: str | None) -> set[str]:
@@ -119,13 +125,11 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if MARKS.search(text) and placeholders(text):
                     rows.append((i, field, 2, None, None, None))
                     continue
-                # a long text is a message only if it is filler throughout, so also in its opening words
-                if field == "description" and len(text) > 400 and filler_share(WORD.findall(text[:300].lower())) < 0.4:
-                    continue
                 found = set(WORD.findall(text.lower()))
                 matches = bool(slug & found) or not slug
-                # the address weighs: it excuses a body that has all its words, and a title's first word unless it contradicts it
-                if is_message(text, field == "title", opening=field != "title" or not matches) and (field == "title" or not (slug and slug <= found)):
+                # the address weighs: it excuses error wording in a body that has all its words, and a title's first word unless it contradicts it
+                excused = field == "description" and slug and slug <= found
+                if mostly_filler(WORD.findall(text.lower()), False) if excused else is_message(text, field == "title", opening=field != "title" or not matches):
                     rows.append((i, field, 2, None, None, None))
                 elif not matches and len(found) <= 25:
                     rows.append((i, field, 1, form(text), host if isinstance(host, str) else "", " ".join(sorted(slug))))

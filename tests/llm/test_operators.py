@@ -165,6 +165,16 @@ def test_titles_are_judged_whatever_the_address_says(spark, last):
     assert found_residue(spark, rows) == {(f"bad{i}", "title") for i in range(len(bad))}
 
 
+def test_long_texts_are_judged_whole(spark):
+    url = "https://h.example/jobs/data-engineer-7"
+    page = "Internal Server Error " + " ".join(c * 40 for c in "abcdefghijkl")
+    bodies = {"filler": JOB * 4 + " lorem ipsum dolor sit amet labore aliqua" * 150, "error": page, "ad": JOB * 5 + " Lorem ipsum dolor." + JOB * 40, "words": "We test data. " * 4 + JOB * 50}
+    assert len(page) > 400 and residue.filler_share(residue.WORD.findall(bodies["filler"][:300].lower())) < 0.4
+    assert found_residue(spark, [(k, "Data Engineer", b, url, "h.example") for k, b in bodies.items()]) == {("filler", "description"), ("error", "description")}
+    served = [(f"s{i}", "Data Engineer", "Kindly hold the line please. " * 30, f"https://h.example/jobs/{c}{c}-role", "h.example") for i, c in enumerate("vwxyz")]
+    assert found_residue(spark, served) >= {(f"s{i}", "description") for i in range(5)}
+
+
 # -- leakage ---------------------------------------------------------------------------------------------------------
 def test_leakage(spark, sf):
     items = table(spark, sf, "eval_items")
