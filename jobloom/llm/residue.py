@@ -3,7 +3,8 @@
 Two kinds of evidence. Detectors: an unfilled placeholder anywhere, or a text that consists of known filler or error
 wording. Mismatch: the words of the record's address (its slug) don't occur in the title or body, the text says little,
 and its form (digits masked, repetitions folded) is shared by several different addresses: one response served
-for many pages. The evidence of forms is counted over all hosts and per host before it is joined back.
+for many pages, and isn't content at other addresses. The evidence of forms is counted over all hosts and per host before
+it is joined back.
 
 Placeholders that are the subject of the work stay: control words of template languages, gender marks such as {f/m/x},
 and names other than a posting's fields next to words about templating.
@@ -110,11 +111,11 @@ def form(text: str) -> str:
     return " ".join(w for i, w in enumerate(words) if not i or words[i - 1] != w)
 
 
-OUT = "id string, src_field string, verdict int, form string, host string, page string"
+OUT = "id string, src_field string, verdict int, form string, host string, page string, address string"
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """verdict 2: by the detectors; 1: a mismatched text that says little, to be judged by how often its form is served."""
+    """verdict 2: by the detectors; 1: a mismatched text that says little, to be judged by how often its form is served; 0: such a text at an address that it matches."""
     for pdf in batches:
         rows = []
         for i, title, body, url, host in zip(pdf.id, pdf.title, pdf.description, pdf.source_url, pdf.source_site, strict=True):
@@ -123,29 +124,35 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not isinstance(text, str) or not text.strip():
                     continue
                 if MARKS.search(text) and placeholders(text):
-                    rows.append((i, field, 2, None, None, None))
+                    rows.append((i, field, 2, None, None, None, None))
                     continue
                 found = set(WORD.findall(text.lower()))
                 matches = bool(slug & found) or not slug
                 # the address weighs: it excuses error wording in a body that has all its words, and a title's first word unless it contradicts it
                 excused = field == "description" and slug and slug <= found
                 if mostly_filler(WORD.findall(text.lower()), False) if excused else is_message(text, field == "title", opening=field != "title" or not matches):
-                    rows.append((i, field, 2, None, None, None))
-                elif not matches and len(found) <= 25:
-                    rows.append((i, field, 1, form(text), host if isinstance(host, str) else "", " ".join(sorted(slug))))
-        yield pd.DataFrame(rows, columns=["id", "src_field", "verdict", "form", "host", "page"]).astype({"verdict": "int32"})
+                    rows.append((i, field, 2, None, None, None, None))
+                elif slug and len(found) <= 25:
+                    at = host if isinstance(host, str) and host.strip() else re.sub(r"^\w+://", "", url).split("/", 1)[0]
+                    rows.append((i, field, 0 if matches else 1, form(text), at, " ".join(sorted(slug)), url))
+        yield pd.DataFrame(rows, columns=["id", "src_field", "verdict", "form", "host", "page", "address"]).astype({"verdict": "int32"})
 
 
 def residue(jobs: DataFrame, served_for: int = 4) -> DataFrame:
     """(id, src_field) of the fields to leave out.
 
-    served_for: so many different addresses (by slug) must have got the same mismatched text, on one host or over all.
-    Only ids and forms of mismatched texts that say little are shuffled.
+    served_for: so many different addresses must have got the same mismatched text: by slug over all hosts, or in full on
+    one host. A text that matches its address as often as not (over all hosts, or on that host) is content, however much data there is.
+    Only ids and forms of texts that say little are shuffled.
     """
     judged = jobs.select("id", "title", "description", "source_url", "source_site").mapInPandas(_judge, OUT)
-    keyed = written(judged.withColumn("form_key", F.xxhash64("src_field", "form")).drop("form"), "residue")  # read three times
-    # pre-aggregated: one row per form, host and slug, then per form; a form served everywhere is one row a partition
-    served = keyed.where("verdict = 1").groupBy("form_key", "page").agg(F.count("*").alias("n")).groupBy("form_key").agg(F.count("*").alias("pages"))
+    keyed = written(judged.withColumns({"form_key": F.xxhash64("src_field", "form"), "address": F.xxhash64("address")}).drop("form"), "residue")  # read four times
+    # pre-aggregated: one row per form, host and address, then per form and host or per form and slug; a form served everywhere is one row a partition
+    short = keyed.where("verdict < 2").groupBy("form_key", "host", "page", "address").agg(F.max("verdict").alias("bad"))
+    at_host = short.groupBy("form_key", "host").agg(F.count_if(F.col("bad") == 1).alias("bad_here"), F.count_if(F.col("bad") == 0).alias("good_here"))
+    pages = short.where("bad = 1").groupBy("form_key", "page").agg(F.count("*").alias("n")).groupBy("form_key").agg(F.count("*").alias("pages"))
+    overall = at_host.groupBy("form_key").agg(F.sum("bad_here").alias("bad"), F.sum("good_here").alias("good")).join(pages, "form_key").where("bad > good")
+    served = at_host.where("bad_here > 0").join(overall, "form_key").where((F.col("pages") >= served_for) | (F.col("bad_here") >= served_for) & (F.col("bad_here") > F.col("good_here")))
     sure = keyed.where("verdict = 2").select("id", "src_field")
-    by_form = keyed.where("verdict = 1").join(served.where(F.col("pages") >= served_for), "form_key").select("id", "src_field")
+    by_form = keyed.where("verdict = 1").join(served.select("form_key", "host"), ["form_key", "host"]).select("id", "src_field")
     return sure.unionByName(by_form)

@@ -175,6 +175,18 @@ def test_long_texts_are_judged_whole(spark):
     assert found_residue(spark, served) >= {(f"s{i}", "description") for i in range(5)}
 
 
+def test_forms_count_per_host_and_against_their_matches(spark):
+    body = " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6))
+    at = lambda h, page, n: f"https://{h}.example/jobs/{page}-{n}"
+    rows = [(f"hot{n}", "Kindly hold", body, at("a", "software-engineer", n), "a.example") for n in range(6)]  # one slug, one host
+    rows += [(f"few{n}", "Kindly wait", body, at(h, "software-engineer", n), f"{h}.example") for n, h in enumerate("abcde")]  # one slug, one address a host
+    rows += [(f"again{n}", "Stand by", body, at("a", "software-engineer", 1), "a.example") for n in range(6)]  # one address again and again
+    rows += [(f"odd{n}", "Backend Developer", body, at("b", f"{c}{c}-role", n), "b.example") for n, c in enumerate("vwxyz")]  # content that is renamed now and then
+    rows += [(f"plain{n}", "Backend Developer", body, at("c", "backend-developer", n), "c.example") for n in range(20)]
+    assert found_residue(spark, rows) == {(f"hot{n}", "title") for n in range(6)}
+    assert found_residue(spark, [(i, t, b, u, None) for i, t, b, u, _ in rows]) == {(f"hot{n}", "title") for n in range(6)}
+
+
 # -- leakage ---------------------------------------------------------------------------------------------------------
 def test_leakage(spark, sf):
     items = table(spark, sf, "eval_items")
