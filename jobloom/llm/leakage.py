@@ -139,13 +139,71 @@ def verbatim_leaks(docs: DataFrame, items: DataFrame, width: int = 12, text: str
     return found.join(item_windows, ["h", "w"]).where("doc_words = item_words").select(key, "item_id").distinct()
 
 
-def reparameterised_leaks(docs: DataFrame, items: DataFrame, width: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, item_id) of documents that hold a window of the item's template with other words put in one to one."""
-    found, item_windows, templates = _windows(docs, items, width, text, key, exact=False)
+def rebound(item: list[str], doc: list[str], at: int, there: int, width: int, common: set[str]) -> tuple[int, int, int]:
+    """(words, kept words, distinct bound slots) of the longest run around a window whose slots map one to one; at, there: its places."""
+    to, back, kept = {}, {}, 0
+
+    def fits(i: int, j: int) -> bool:
+        nonlocal kept
+        x, y = item[i], doc[j]
+        if x in common or y in common:
+            kept += x == y
+            return x == y
+        if slot(x, common) != slot(y, common) or to.get(x, y) != y or back.get(y, x) != x:
+            return False
+        to[x], back[y] = y, x
+        return True
+
+    if not all(fits(at + k, there + k) for k in range(width)):
+        return 0, 0, 0
+    end = width
+    while at + end < len(item) and there + end < len(doc) and fits(at + end, there + end):
+        end += 1
+    begin = 0
+    while at + begin > 0 and there + begin > 0 and fits(at + begin - 1, there + begin - 1):
+        begin -= 1
+    return end - begin, kept, len(to)
+
+
+def reparameterised_leaks(docs: DataFrame, items: DataFrame, width: int = 24, text: str = "text", key: str = "doc_id", short: int = 12, least_kept: int = 6, least_slots: int = 2) -> DataFrame:
+    """(key, item_id) of documents that hold a window of the item's template with other words put in one to one.
+
+    A window of `width` words is enough by itself; one of `short` words if the run around it (up to `short` words more on
+    either side) keeps `least_kept` words of the template and binds `least_slots` slots.
+    """
+    spark = docs.sparkSession
+    rows = rows_of(items.select("item_id", "item_text").where("item_text is not null"), MAX_ITEMS, "the table of items")
+    templates = Templates([r.item_text for r in rows])
+    context = lambda ws, i, size: (ws[max(0, i - short): i + size + short], min(i, short))
+    table = []
+    for r in rows:
+        ws = words(r.item_text)
+        for size in {width, short}:
+            table += [(h, size, r.item_id, *context(ws, i, size)) for i, (h, w, _) in enumerate(templates.windows(r.item_text, size)) if h != w]
+    known = {size: np.unique(np.array([x[0] for x in table if x[1] == size], dtype=np.int64)) for size in {width, short}}
+    thin = len(table) <= MAX_HASHES
+    kind_of_key, kind_of_item = dict(docs.dtypes)[key], dict(items.dtypes)["item_id"]
 
-    @F.pandas_udf("boolean")
-    def consistent(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one_to_one(list(y), list(x), templates.common) for x, y in zip(a, b, strict=True)], dtype=bool)
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf["k"], pdf["t"], strict=True):
+                ws = words(t)
+                kept = [slot(w, templates.common) for w in ws]
+                for size, hashes in ((size, window_hashes(kept, size)) for size in known):
+                    meets = among(hashes, known[size]) if thin else np.ones(len(hashes), dtype=bool)
+                    out += [(k, int(hashes[i]), size, *context(ws, i, size)) for i in map(int, np.flatnonzero(meets))]
+            yield pd.DataFrame(out, columns=[key, "h", "size", "doc_words", "doc_at"])
 
-    other = found.join(item_windows.withColumnRenamed("w", "item_w"), "h").where("w <> item_w")
-    return other.where(consistent("doc_words", "item_words")).select(key, "item_id").distinct()
+    @F.pandas_udf("boolean")
+    def consistent(size: pd.Series, item: pd.Series, at: pd.Series, doc: pd.Series, there: pd.Series) -> pd.Series:
+        out = []
+        for n, a, i, b, j in zip(size, item, at, doc, there, strict=True):
+            a, b = list(a), list(b)
+            run, kept, slots = rebound(a, b, i, j, n, templates.common)
+            out.append(run > 0 and a[i : i + n] != b[j : j + n] and (n >= width or kept >= least_kept and slots >= least_slots))
+        return pd.Series(out, dtype=bool)
+
+    found = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"{key} {kind_of_key}, h bigint, size int, doc_words array<string>, doc_at int")
+    held = spark.createDataFrame(table, f"h bigint, size int, item_id {kind_of_item}, item_words array<string>, item_at int")
+    return found.join(held, ["h", "size"]).where(consistent("size", "item_words", "item_at", "doc_words", "doc_at")).select(key, "item_id").distinct()

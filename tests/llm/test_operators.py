@@ -205,6 +205,18 @@ def test_leakage(spark, sf):
     assert leakage.verbatim_leaks(df.limit(0), items).count() == 0 and leakage.verbatim_leaks(df, items.limit(0)).count() == 0
 
 
+def test_single_sentences_with_other_words_are_found(spark):
+    texts = [f"The foreman of the {p} mill had bought {n} barrels of {g} before the winter and sold half of them." for p, n, g in (("Ardle", 31, "tallow"), ("Brack", 52, "cider"), ("Corve", 73, "resin"))]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, item_text string")
+    assert max(len(leakage.words(t)) for t in texts) < 24
+    swapped = "Well. " + texts[0].replace("Ardle", "Zorn").replace("31", "88").replace("tallow", "quince") + " So it was."
+    rows = [(1, swapped), (2, swapped.replace("barrels of", "crates with").replace("bought", "stolen")), (3, "A text about nothing of the kind.")]
+    found = leakage.reparameterised_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert {r.doc_id for r in found.collect()} == {1}
+    common = {"a", "b"}
+    assert leakage.rebound(["a", "x", "b", "x"], ["a", "y", "b", "y"], 1, 1, 2, common) == (4, 2, 1) and leakage.rebound(["x", "z"], ["y", "y"], 0, 0, 2, common) == (0, 0, 0)
+
+
 def test_leakage_against_brute_force(spark, sf):
     items, docs = table(spark, sf, "eval_items").collect(), table(spark, sf, "documents").collect()
     windows = {}
