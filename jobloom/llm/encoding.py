@@ -68,20 +68,37 @@ def garble(text: str, chain: tuple[str, ...]) -> str:
     return text
 
 
-def plausible(text: str) -> bool:
-    """Whether every character is one of the letters and marks texts of these languages have."""
-    for c in text:
+def wide(o: int) -> bool:
+    """Whether a code point is of a script beyond Latin, Greek and Cyrillic: Armenian to Georgian, and East Asian ones."""
+    return 0x530 <= o < 0x1200 or 0x2E80 <= o < 0xA4D0 or 0xAC00 <= o < 0xD7B0 or 0xF900 <= o < 0xFB00 or 0xFB1D <= o < 0xFE00 or 0xFE30 <= o < 0xFFF0 or 0x20000 <= o < 0x32000
+
+
+def plausible(text: str, least_wide: int = 2) -> bool:
+    """Whether every character is assigned and a letter or mark that texts have.
+
+    Clean text such as "é", a no-break space and "»" happens to be one East Asian character in some encoding, so of the wide
+    scripts there must be least_wide characters. Marks must follow a letter of such a script or a symbol.
+    """
+    many = 0
+    for i, c in enumerate(text):
         o = ord(c)
         if o < 128:
             continue
-        if 0x80 <= o < 0xA0 or unicodedata.category(c) in ("Co", "Cn", "Cs", "Mn", "Me"):
+        kind = unicodedata.category(c)
+        if 0x80 <= o < 0xA0 or kind in ("Co", "Cn", "Cs", "Me"):
             return False
-        if not (o < 0x250 or 0x370 <= o < 0x530 or 0x2000 <= o < 0x2070 or 0x20A0 <= o < 0x2200 or 0x2200 <= o < 0x2300 or 0x25A0 <= o < 0x27C0):
+        if kind in ("Mn", "Mc"):
+            if i == 0 or not (wide(ord(text[i - 1])) or o in (0xFE0E, 0xFE0F)):
+                return False
+            continue
+        if wide(o):
+            many += 1
+        elif not (o < 0x250 or 0x370 <= o < 0x530 or 0x2000 <= o < 0x2070 or 0x20A0 <= o < 0x2800 or 0x2900 <= o < 0x2C00 or 0x1F000 <= o < 0x1FB00):
             return False
-    return True
+    return many == 0 or many >= least_wide
 
 
-def ungarble(run: str, chain: tuple[str, ...]) -> str | None:
+def ungarble(run: str, chain: tuple[str, ...], least_wide: int = 2) -> str | None:
     """A run with its chain undone; None if a step doesn't decode strictly or the outcome isn't plausible."""
     text = run
     for codec in reversed(chain):
@@ -95,7 +112,7 @@ def ungarble(run: str, chain: tuple[str, ...]) -> str | None:
         if new == text:
             return None
         text = new
-    return text if plausible(text) else None
+    return text if plausible(text, least_wide) else None
 
 
 def bigrams(text: str) -> np.ndarray:
@@ -149,6 +166,8 @@ class ChainModel:
         for r in bad:
             chain = best if best in inverse[r] else min(inverse[r], key=lambda c: (-len(c), place[c]))
             fixed[r] = ungarble(r, chain)
+        if any(wide(ord(c)) for t in fixed.values() for c in t):  # then single characters of such a script are no chance
+            fixed |= {r: t for r in runs - bad if (t := ungarble(r, best, 1)) is not None}
         return RUN.sub(lambda m: fixed.get(m.group(), m.group()), text), True
 
 

@@ -273,6 +273,20 @@ def test_round_trip(chain):
         assert model.restore("plain. " + encoding.garble(text, chain) + "\n" + CLEAN[0]) == ("plain. " + text + "\n" + CLEAN[0], True)
 
 
+@pytest.mark.parametrize("chain", [("cp1252",), ("latin-1",), ("cp1252", "cp1252"), ("mac_roman",)])
+def test_emoji_and_other_scripts_are_restored(chain):
+    model = encoding.ChainModel(CLEAN)
+    for text in ("Join us 😀 now", "Köln 🚀", "Café✨🚀é", "Remote ⌚ ✔️ 👩‍💻", "募集中 エンジニア 東 です", "مطلوب مهندس", "דרוש מהנדס"):
+        assert model.restore(encoding.garble(text, chain)) == (text, True)
+        assert model.restore(text) is None
+
+
+def test_clean_runs_that_look_like_one_wide_character_stay():
+    model = encoding.ChainModel(CLEAN)
+    for text in ("« Un bel été\u00a0» dit-il", "perché…” disse", "так и там, сам раб рад"):
+        assert model.restore(text) is None
+
+
 def test_restored(spark):
     rows = [(1, encoding.garble(CLEAN[0], ("cp1252",)), 0), (2, CLEAN[0], 0), (3, "K�ln " + encoding.garble("ü", ("cp1252",)), 0), (4, None, 0), (5, "", 0), (6, "ascii", 0), (7, encoding.garble(CLEAN[2], ("mac_roman",)) * 3000, 0), (1, encoding.garble(CLEAN[0], ("cp1252",)), 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, restored_chars int")
