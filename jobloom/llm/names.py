@@ -3,7 +3,7 @@
 A name is read into first name, surnames, line of business and legal form; notes (places, departments, "Careers at")
 are dropped. Names that read alike form a class. Classes are blocked by token suffixes of at least min_suffix letters.
 A suffix that more than common classes share is refined with the other surname (its first or last three letters) and
-used in the refined form only; no block is dropped, and a block's pairs are made by a join, not in one task. Pairs that
+used in the refined form only; names of short surnames only share blocks of their letters with some left out; no block is dropped, and a block's pairs are made by a join, not in one task. Pairs that
 agree in the fields both state are compared by the ratio of their longest common subsequence. Linked classes become
 connected components; a name without line of business joins the one entity its surnames fit.
 
@@ -146,6 +146,21 @@ def read_names(values: DataFrame) -> DataFrame:
     return parsed.withColumn("class_id", key)
 
 
+def short_keys(tokens: list[str]) -> list[str]:
+    """The joined surnames in both orders with as many letters left out as the ratio of the longest common subsequence
+    allows; at most two of more than 12 letters."""
+    keys = set()
+    for text in {"".join(tokens), "".join(tokens[::-1])}:
+        some, n = {text}, len(text)
+        for d in range(1, n):
+            keys |= some
+            if 2 * (n - d) < 0.84 * (2 * n - d) or n > 12 and d > 2:
+                break
+            some = {t[:i] + t[i + 1:] for t in some for i in range(len(t))}
+        keys |= {text}
+    return [f"={k}" for k in sorted(keys)]
+
+
 def block_keys(classes: DataFrame, min_suffix: int = 5, common: int = 50) -> DataFrame:
     """(class_id, key): token suffixes; those shared by more than `common` classes refined with the other surname."""
     suffixes = F.transform(
@@ -157,7 +172,8 @@ def block_keys(classes: DataFrame, min_suffix: int = 5, common: int = 50) -> Dat
     others = F.when(F.size("names") == 1, F.array("token")).otherwise(F.filter("names", lambda t: t != F.col("token")))
     refined = F.flatten(F.transform(others, lambda o: F.array(F.concat(F.lit("<"), F.left(o, F.lit(3))), F.concat(F.lit(">"), F.right(o, F.lit(3))))))
     keyed = each.join(shared, "suffix").withColumn("more", F.when((F.col("n") > common) & (F.size(others) > 0), refined).otherwise(F.array(F.lit(""))))
-    short = classes.where(~F.exists("names", lambda t: F.length(t) >= min_suffix)).select("class_id", F.concat_ws(" ", "names").alias("key"))
+    # short surnames, also those a letter longer than a short one: joined, with letters left out
+    short = classes.where(~F.exists("names", lambda t: F.length(t) > min_suffix)).select("class_id", F.explode(F.udf(short_keys, "array<string>")("names")).alias("key"))
     long = keyed.select("class_id", "suffix", F.explode("more").alias("other")).select("class_id", F.concat("suffix", "other").alias("key"))
     return long.union(short).distinct()
 

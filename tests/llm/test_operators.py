@@ -61,6 +61,12 @@ def test_common_suffixes_are_refined_not_dropped(spark):
     assert ("Zorbelumere Quolbrim Media", "Zorbelumere Quolbrin Media") in {(r.name_a, r.name_b) for r in names.name_pairs(df, common=5).collect()}
 
 
+def test_short_names_are_compared(spark):
+    same = [("Abel & Cole", "Abel & Coel"), ("Nike", "Nikee"), ("Hahn Wolf", "Wolf Han")]
+    df = spark.createDataFrame([(n,) for n in [*(x for p in same for x in p), "Ford", "Fiat", "HP", "HB"]], "name string")
+    assert {(r.name_a, r.name_b) for r in names.name_pairs(df).collect()} == {tuple(sorted(p)) for p in same}
+
+
 def test_lcs():
     assert names.lcs_length("nematode knowledge", "empty bottle") == 7 and names.lcs_ratio("", "") == 1.0 and names.lcs_length("abc", "") == 0
 
