@@ -77,7 +77,7 @@ PAGE = "\n".join(["Home | Jobs | Companies", "Skip to content", "", *BODY[:2], "
 
 
 def test_boilerplate(spark, sf):
-    model = boilerplate.train(table(spark, sf, "jobs"))
+    model = boilerplate.train(table(spark, sf.replace("sf0.001", "sf0.01"), "jobs"))
     df = spark.createDataFrame([("a", PAGE, 7), ("b", None, 7), ("c", "", 7), ("d", "one line only", 7), ("e", PAGE, 7), ("f", "Error\n502 Bad Gateway\nproxy 1.2", 7), ("g", "\n".join(BODY * 3000), 7)], "id string, description string, line_no int")
     got = {}
     for r in boilerplate.page_furniture(df, model=model).collect():
@@ -91,11 +91,40 @@ def test_maximal_regions_against_brute_force():
     for _ in range(200):
         s = [float(x) for x in rng.integers(-5, 6, 9)]
         best = max((sum(s[a:b]) for a in range(9) for b in range(a + 1, 10)), default=0)
-        regions = boilerplate.maximal_regions(s)
+        regions = boilerplate.maximal_regions(s, drop=1e9, least=0.0)
         assert max((sum(s[a:b]) for a, b in regions), default=0) == max(best, 0)
+        for a, b in boilerplate.maximal_regions(s, drop=3.0):
+            assert sum(s[a:b]) >= 2 and all(sum(s[a:i]) > 0 and sum(s[i:j]) >= -3 for i in range(a + 1, b) for j in range(i + 1, b))
         assert all(b <= c for (_, b), (c, _) in zip(regions, regions[1:], strict=False))
 
 
+class Weights(boilerplate.LineModel):
+    def __init__(self, scores):
+        self.scores = scores
+
+    def score(self, line):
+        return self.scores[line]
+
+
+def test_the_region_decides_not_the_line():
+    scores = {"menu": -9.0, "lone": 1.0, "body": 7.0, "odd heading": -1.5, "ad": -4.0}
+    page = "\n".join(["menu", "lone", "menu", "body", "odd heading", "body", "ad", "body", "menu"])
+    assert boilerplate.furniture_lines(page, Weights(scores)) == [1, 2, 3, 7, 9]  # by sign of the line it would be 1, 3, 5, 7, 9
+
+
+def test_furniture_of_any_wording_is_learned_from_bodies():
+    rng = np.random.default_rng(5)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    sentence = lambda: " ".join(words[int(i)] for i in rng.integers(0, 40, 8)) + "."
+    chrome = ["Zibble | Frobnik | Quux", "Snargle the grommets", "Plugh now   Xyzzy later", "Blorf ▾"]
+    bodies = [" ".join(sentence() for _ in range(6)) for _ in range(400)]
+    pages = ["\n".join([chrome[i % 2], *(sentence() for _ in range(5)), chrome[2], chrome[3]]) for i in range(300)]
+    model = boilerplate.learn(pages, bodies)
+    assert all(boilerplate.furniture_lines(p, model) == [1, 7, 8] for p in pages[:50])
+    nothing = boilerplate.learn(pages, [])
+    assert boilerplate.furniture_lines(pages[0], nothing) == []
+
+
 # -- vectors ---------------------------------------------------------------------------------------------------------
 def clustered(n, dims, seed=0, clusters=8):
     rng = np.random.default_rng(seed)
