@@ -1,12 +1,13 @@
 """Text decoded with the wrong character encoding, found and restored.
 
-A multinomial classifier over hashed byte bigrams predicts the chain of encodings that garbled a text. It is trained
-here: clean texts of a bounded seeded sample, and constant phrases of the languages concerned, are garbled by every
-chain. For a suspicious text the chains are tried from the most to the least likely: each run of non-ASCII characters is
-encoded back and must decode strictly. Runs that don't belong to the chain (text may be garbled in part) stay as they are.
+A multinomial classifier over hashed byte bigrams predicts for each run of non-ASCII characters the chain of encodings
+that garbled it, or that it is clean. It is trained here: clean texts of a bounded seeded sample, and constant phrases of
+the languages concerned, are garbled by every chain. Runs that the classifier doesn't hold for clean are
+suspicious; the chain of a text is the one most likely for all its suspicious runs together. Only the few likeliest chains are
+inverted: a run must decode strictly, into plausible characters, and the classifier must find the outcome cleaner than what it
+was. Runs that don't belong to the text's chain (text may be garbled in part, or in two ways) take their own likeliest one.
 
-A text is affected if a run decodes strictly into plausible characters, or if it holds replacement characters; the
-latter are lost for good.
+A text is affected if a run is restored, or if it holds replacement characters; the latter are lost for good.
 
 Defined results: null, empty and pure ASCII texts aren't affected; a text that is both garbled and has lost characters
 counts as lost; texts are read whole; repeated rows are judged alike.
@@ -14,9 +15,9 @@ counts as lost; texts are read whole; repeated rows are judged alike.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.tables import hash_sample
+
 # Encodings that UTF-8 text gets read with, once or twice.
 CHAINS: list[tuple[str, ...]] = [(c,) for c in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1250", "cp1251", "cp850", "iso8859-15", "cp1254", "cp866", "koi8-r", "iso8859-2", "mac_cyrillic")] + [("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"), ("mac_roman", "mac_roman")]
 # Phrases that every model is trained with, so that a sample without accents still teaches it.
 PHRASES = [
     "Wir grüßen aus Köln – bis später! Für Größe, Übung und Äpfel: „gut“.", "Les tâches évoluent : où ça ? L’équipe à Orléans, façon cœur, naïve. Élan Ça",
     "¿Señor, mañana? ¡Sí! El año próximo, según la región; información útil. Ángel Ñandú", "Você não está à procura de ações, informações e opiniões? Ângela É Ã Õ FORMAÇÃO",
+    "募集中 エンジニア 東京 です 软件工程师 한국어 개발자", "مطلوب مهندس برمجيات", "דרוש מהנדס תוכנה", "😀🚀✨ ⌚ ✔️ 👩‍💻 ⭐ 🎉 👉 ✅",
     "Мы ищем специалиста. Опыт работы не менее трёх лет, гибкий график, дорога до офиса. Вы будете отвечать за проекты; Щ Э Ю Я ы ъ ё", "It’s “fine” – 5 € or £3, 20 °C ± 2 • №7… café résumé Kraków Málaga Zürich Zoë",
 ]
 RUN = re.compile(r"[^\x00-\x7f]+")
@@ -115,32 +119,54 @@ def ungarble(run: str, chain: tuple[str, ...], least_wide: int = 2) -> str | Non
     return text if plausible(text, least_wide) else None
 
 
-def bigrams(text: str) -> np.ndarray:
-    """Hashed pairs of the UTF-8 bytes of a text's non-ASCII runs, each with its neighbours."""
-    parts = [text[max(0, m.start() - 1) : m.end() + 1].encode("utf-8") for m in RUN.finditer(text)]
-    if not parts:
-        return np.zeros(0, dtype=np.int64)
-    data = np.frombuffer(b"\x00".join(parts), dtype=np.uint8).astype(np.int64)
+def bigrams(run: str) -> np.ndarray:
+    """Hashed pairs of the UTF-8 bytes of a run of non-ASCII characters, with a space on either side."""
+    data = np.frombuffer(f" {run} ".encode(), dtype=np.uint8).astype(np.int64)
     return ((data[:-1] * 257 + data[1:]) * 2654435761 % (1 << 32)) >> 20
 
 
 class ChainModel:
-    """Multinomial naive Bayes over hashed byte bigrams; class 0 is clean text, class i the chain CHAINS[i - 1]."""
+    """Multinomial naive Bayes over hashed byte bigrams; class 0 is clean text, class i the chain CHAINS[i - 1].
 
-    def __init__(self, clean: list[str]) -> None:
-        counts = np.ones((len(CHAINS) + 1, BUCKETS)) * 0.1
-        for text in [*PHRASES * 3, *clean]:
-            runs = " ".join(text[max(0, m.start() - 1) : m.end() + 1] for m in RUN.finditer(text))
-            if not runs:
-                continue
-            for i, version in enumerate([runs, *(garble(runs, c) for c in CHAINS)]):
-                np.add.at(counts[i], bigrams(version), 1)
-        self.log = np.log(counts / counts.sum(1, keepdims=True))
+    doubt: a run is suspicious unless clean text is likelier than the likeliest chain by more than this many log units; what is
+    suspected without reason fails the strict decoding. tries: so many chains are inverted for a run, the likeliest first.
+    """
 
-    def ranked(self, text: str) -> list[int]:
-        """Classes from the most to the least likely."""
-        grams = bigrams(text)
-        return list(np.argsort(-self.log[:, grams].sum(1), kind="stable"))
+    def __init__(self, clean: list[str], doubt: float = 4.0, tries: int = 3) -> None:
+        self.doubt, self.tries = doubt, tries
+        counts = np.full((len(CHAINS) + 1, BUCKETS), 0.1)
+        for run, n in Counter(r for text in [*PHRASES * 3, *clean] for r in RUN.findall(text)).items():
+            for i, version in enumerate([run, *(garble(run, c) for c in CHAINS)]):
+                np.add.at(counts[i], bigrams(version), n)
+        self.log = np.log(counts / counts.sum(1, keepdims=True))
+        self.seen: dict[str, np.ndarray] = {}
+
+    def odds(self, run: str) -> np.ndarray:
+        """Log likelihood of a run under every class."""
+        got = self.seen.get(run)
+        if got is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            got = self.seen[run] = self.log[:, bigrams(run)].sum(1)
+        return got
+
+    def ranked(self, odds: np.ndarray, longest: int) -> list[int]:
+        """The likeliest chains (numbers in CHAINS), best first; a chain makes at least two characters of one with each step."""
+        fits = [i for i, c in enumerate(CHAINS) if 2 ** len(c) <= longest]
+        return sorted(fits, key=lambda i: -odds[i + 1])[: self.tries]
+
+    def undo(self, run: str, chains: list[int], least_wide: int = 2) -> str | None:
+        """A run with the first of some chains undone that leaves it cleaner than it was; None if none does."""
+        was = self.odds(run)
+        for i in chains:
+            new = ungarble(run, CHAINS[i], least_wide)
+            if new is None:
+                continue
+            now = self.odds(new) if not new.isascii() else None
+            # what still looks garbled was garbled by a longer chain; what looks less clean than before was clean
+            if now is None or now[0] - now[1:].max() > was[0] - was[1:].max():
+                return new
+        return None
 
     def restore(self, text: str) -> tuple[str, bool] | None:
         """(restored text, all of it restored); None if the text isn't affected."""
@@ -148,26 +174,22 @@ class ChainModel:
             return None
         if LOST in text:
             return text, False
-        runs = set(RUN.findall(text))
-        inverse = {r: [c for c in CHAINS if ungarble(r, c) is not None] for r in runs}
-        bad = {r for r, chains in inverse.items() if chains}
-        if not bad:
+        runs = dict.fromkeys(RUN.findall(text))
+        suspicious = [r for r in runs if (o := self.odds(r))[0] - o[1:].max() <= self.doubt]
+        if not suspicious:
             return None
-        order = [CHAINS[i - 1] for i in self.ranked(" ".join(bad)) if i]
-        place = {c: i for i, c in enumerate(order)}
-        # the likeliest chain that undoes the most of the garbled runs; a run it can't undo takes its own likeliest chain
-        total = {c: sum(len(r) for r in bad if c in inverse[r]) for c in order}
-        most = max(total.values())
-        best = next(c for c in order if total[c] >= 0.95 * most)
-        longer = [c for c in order if len(c) > len(best) and all(c in inverse[r] for r in bad)]
-        if longer:  # undone once it would still be garbled
-            best = longer[0]
+        chains = self.ranked(sum(self.odds(r) for r in suspicious), max(map(len, suspicious)))
         fixed = {}
-        for r in bad:
-            chain = best if best in inverse[r] else min(inverse[r], key=lambda c: (-len(c), place[c]))
-            fixed[r] = ungarble(r, chain)
+        for r in suspicious:
+            new = self.undo(r, chains)
+            if new is None:
+                new = self.undo(r, self.ranked(self.odds(r), len(r)))
+            if new is not None:
+                fixed[r] = new
+        if not fixed:
+            return None
         if any(wide(ord(c)) for t in fixed.values() for c in t):  # then single characters of such a script are no chance
-            fixed |= {r: t for r in runs - bad if (t := ungarble(r, best, 1)) is not None}
+            fixed |= {r: t for r in runs if r not in fixed and (t := self.undo(r, chains, 1)) is not None}
         return RUN.sub(lambda m: fixed.get(m.group(), m.group()), text), True
 
 
@@ -176,11 +198,9 @@ def is_clean(text: str) -> bool:
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 600) -> ChainModel:
-    """A model from at most sample_docs texts with non-ASCII characters, of which those without garbled runs are used."""
-    share = max(1, docs.count() // (20 * sample_docs))
-    some = docs.where(F.col(text).rlike(r"[^\x00-\x7f]") & (F.pmod(F.xxhash64(F.lit(7), key), F.lit(share)) == 0))
-    seen = some.limit(sample_docs).select(text).collect()
-    return ChainModel([t for (t,) in seen if is_clean(t)])
+    """A model from a seeded sample of at most sample_docs texts with non-ASCII characters; those without garbled runs are used."""
+    some = docs.where(F.col(text).rlike(r"[^\x00-\x7f]"))
+    return ChainModel([t for (t,) in hash_sample(some, [text], key, sample_docs, some.count()) if is_clean(t)])
 
 
 def restored(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 600, model: ChainModel | None = None) -> DataFrame:

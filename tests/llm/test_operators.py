@@ -316,6 +316,24 @@ def test_emoji_and_other_scripts_are_restored(chain):
         assert model.restore(text) is None
 
 
+def test_the_classifier_decides():
+    model, blind = encoding.ChainModel(CLEAN), encoding.ChainModel(CLEAN)
+    blind.log = np.zeros_like(blind.log)
+    unseen = ["Führungskräfte überprüfen Verträge", "señalización eléctrica básica", "Специалист по продажам", "prêt à évoluer"]
+    whole = seen = first = total = 0
+    for text in unseen:
+        for chain in encoding.CHAINS:
+            bad = encoding.garble(text, chain)
+            whole += model.restore(bad) == (text, True)
+            seen += blind.restore(bad) == (text, True)
+            runs = encoding.RUN.findall(bad)
+            best = encoding.CHAINS[model.ranked(sum(model.odds(r) for r in runs), max(map(len, runs)))[0]]
+            first += "".join(encoding.ungarble(r, best) or r for r in runs) == "".join(encoding.RUN.findall(text))
+            total += 1
+    assert whole >= 0.95 * total and seen == 0
+    assert first >= 0.9 * total  # the likeliest chain alone undoes nearly all
+
+
 def test_clean_runs_that_look_like_one_wide_character_stay():
     model = encoding.ChainModel(CLEAN)
     for text in ("« Un bel été\u00a0» dit-il", "perché…” disse", "так и там, сам раб рад"):
