@@ -1,10 +1,17 @@
 """Records that hold template residue, filler, error pages or demands for scripts instead of content.
 
-Two kinds of evidence. Detectors: an unfilled placeholder anywhere, or a text that consists of known filler or error
-wording. Mismatch: the words of the record's address (its slug) don't occur in the title or body, the text says little,
-and its form (digits masked, repetitions folded) is shared by several different addresses: one response served
-for many pages, and isn't content at other addresses. The evidence of forms is counted over all hosts and per host before
-it is joined back.
+Placeholder detectors find an unfilled placeholder anywhere. Everything else is weighed by evidence, in bits. A title or body is a
+candidate if no word of the record's address (its slug) occurs in it and it says little: at most `few_words` distinct words. For it
+speak
+- how rarely such a mismatch happens on its host (the negative logarithm of the share of the host's titles or bodies),
+- how many addresses got the same response, on this host and over all hosts, and on how many hosts (logarithms of counts),
+- that title and body share no word of four letters or more; that they do speaks against it,
+- filler and error wording;
+against it speaks that texts of the same words match their addresses elsewhere. The response is left out if the sum reaches
+`least_bits`. Responses are the same if their words are, numbers masked, in any order and number.
+
+Where the address has no words, or has some of the text's, there is no mismatch to weigh, and filler or error wording decides, unless
+all words of the address occur in the body.
 
 Placeholders that are the subject of the work stay: control words of template languages, gender marks such as {f/m/x},
 and names other than a posting's fields next to words about templating.
@@ -16,10 +23,11 @@ gives no mismatch evidence, the detectors still apply; one row per field at most
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.session import written
@@ -89,10 +97,11 @@ def mostly_filler(words: list[str], title: bool) -> bool:
     return share >= 0.8 or not title and len(words) > 8 and share >= 0.5 and sum(w in COMMON for w in words) <= 0.04 * len(words)
 
 
-def is_message(text: str, title: bool, opening: bool = True) -> bool:
-    """Whether a text consists of filler, an error message or a demand to enable scripts. opening: a first word of filler is enough."""
+def is_message(text: str, title: bool, opening: bool = True, words: list[str] | None = None) -> bool:
+    """Whether a text consists of filler, an error message or a demand to enable scripts. opening: a first word of filler is enough.
+    words: those of the text, if they are known."""
     t = text.strip()
-    words = WORD.findall(t.lower())
+    words = WORD.findall(t.lower()) if words is None else words
     if len(words) <= (8 if title else 45) and (ERRORS.search(t) or FILLERS.search(t) or OPENING.search(t) and (opening or all(w in FILLER_WORDS or w.isdigit() or set(w) == {"x"} for w in words))):
         return True
     return mostly_filler(words, title)
@@ -104,55 +113,70 @@ def slug_words(url: str | None) -> set[str]:
     return {w for w in re.split(r"[^a-z]+", last.lower()) if len(w) > 1}
 
 
-def form(text: str) -> str:
-    """A text with numbers and hexadecimal marks masked and immediate repetitions folded."""
-    t = re.sub(r"\b[0-9a-f]*\d[0-9a-f]*\b", "9", text.lower())
-    words = WORD.findall(t)
-    return " ".join(w for i, w in enumerate(words) if not i or words[i - 1] != w)
+def form(words: set[str]) -> str:
+    """What a response says: its distinct words in order, those with digits masked."""
+    return " ".join(sorted({"9" if any(c.isdigit() for c in w) else w for w in words}))
 
 
-OUT = "id string, src_field string, verdict int, form string, host string, page string, address string"
+COLUMNS = "id string, src_field string, verdict int, form string, host string, address string, alone boolean, wording boolean, n bigint"
+SURE, CANDIDATE, CONTENT, TOTAL = 2, 1, 0, 3
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """verdict 2: by the detectors; 1: a mismatched text that says little, to be judged by how often its form is served; 0: such a text at an address that it matches."""
+def _judge(batches: Iterator[pd.DataFrame], few_words: int) -> Iterator[pd.DataFrame]:
+    """Rows of COLUMNS. SURE: by the detectors; CANDIDATE: a mismatched text that says little; CONTENT: how many texts (n) of a form
+    match their address; TOTAL: how many texts (n) of a field a host has. The last two are counted here, within a batch."""
     for pdf in batches:
-        rows = []
+        rows, content, total = [], Counter(), Counter()
         for i, title, body, url, host in zip(pdf.id, pdf.title, pdf.description, pdf.source_url, pdf.source_site, strict=True):
             slug = slug_words(url)
+            at = host if isinstance(host, str) and host.strip() else re.sub(r"^\w+://", "", url or "").split("/", 1)[0]
             for field, text, other in (("title", title, body), ("description", body, title)):
                 if not isinstance(text, str) or not text.strip():
                     continue
+                total[at, field] += 1
                 if MARKS.search(text) and placeholders(text):
-                    rows.append((i, field, 2, None, None, None, None))
+                    rows.append((i, field, SURE, None, None, None, None, None, 1))
+                    continue
+                words = WORD.findall(text.lower())
+                found = set(words)
+                matches = bool(slug & found)
+                few = len(found) <= few_words
+                if slug and few and not matches:
+                    shared = isinstance(other, str) and any(len(w) > 3 for w in found.intersection(WORD.findall(other.lower())))
+                    rows.append((i, field, CANDIDATE, form(found), at, url, not shared, is_message(text, field == "title", words=words), 1))
                     continue
-                found = set(WORD.findall(text.lower()))
-                matches = bool(slug & found) or not slug
                 # the address weighs: it excuses error wording in a body that has all its words, and a title's first word unless it contradicts it
                 excused = field == "description" and slug and slug <= found
-                if mostly_filler(WORD.findall(text.lower()), False) if excused else is_message(text, field == "title", opening=field != "title" or not matches):
-                    rows.append((i, field, 2, None, None, None, None))
-                elif slug and len(found) <= 25:
-                    at = host if isinstance(host, str) and host.strip() else re.sub(r"^\w+://", "", url).split("/", 1)[0]
-                    rows.append((i, field, 0 if matches else 1, form(text), at, " ".join(sorted(slug)), url))
-        yield pd.DataFrame(rows, columns=["id", "src_field", "verdict", "form", "host", "page", "address"]).astype({"verdict": "int32"})
+                if mostly_filler(words, False) if excused else is_message(text, field == "title", opening=field != "title" or bool(slug) and not matches, words=words):
+                    rows.append((i, field, SURE, None, None, None, None, None, 1))
+                elif slug and few:
+                    content[form(found), field] += 1
+        rows += [(None, field, CONTENT, f, None, None, None, None, n) for (f, field), n in content.items()]
+        rows += [(None, field, TOTAL, None, at, None, None, None, n) for (at, field), n in total.items()]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"verdict": "int32", "n": "int64"})
+
+
+def bits(count: Column) -> Column:
+    return F.log2(1.0 + count)
 
 
-def residue(jobs: DataFrame, served_for: int = 4) -> DataFrame:
+def residue(jobs: DataFrame, least_bits: float = 6.0, few_words: int = 25) -> DataFrame:
     """(id, src_field) of the fields to leave out.
 
-    served_for: so many different addresses must have got the same mismatched text: by slug over all hosts, or in full on
-    one host. A text that matches its address as often as not (over all hosts, or on that host) is content, however much data there is.
-    Only ids and forms of texts that say little are shuffled.
+    Only candidates, and counts made within each batch, are shuffled: a response served for a third of all addresses is one row
+    a host and address before it is counted, and one row a host after.
     """
-    judged = jobs.select("id", "title", "description", "source_url", "source_site").mapInPandas(_judge, OUT)
-    keyed = written(judged.withColumns({"form_key": F.xxhash64("src_field", "form"), "address": F.xxhash64("address")}).drop("form"), "residue")  # read four times
-    # pre-aggregated: one row per form, host and address, then per form and host or per form and slug; a form served everywhere is one row a partition
-    short = keyed.where("verdict < 2").groupBy("form_key", "host", "page", "address").agg(F.max("verdict").alias("bad"))
-    at_host = short.groupBy("form_key", "host").agg(F.count_if(F.col("bad") == 1).alias("bad_here"), F.count_if(F.col("bad") == 0).alias("good_here"))
-    pages = short.where("bad = 1").groupBy("form_key", "page").agg(F.count("*").alias("n")).groupBy("form_key").agg(F.count("*").alias("pages"))
-    overall = at_host.groupBy("form_key").agg(F.sum("bad_here").alias("bad"), F.sum("good_here").alias("good")).join(pages, "form_key").where("bad > good")
-    served = at_host.where("bad_here > 0").join(overall, "form_key").where((F.col("pages") >= served_for) | (F.col("bad_here") >= served_for) & (F.col("bad_here") > F.col("good_here")))
-    sure = keyed.where("verdict = 2").select("id", "src_field")
-    by_form = keyed.where("verdict = 1").join(served.select("form_key", "host"), ["form_key", "host"]).select("id", "src_field")
-    return sure.unionByName(by_form)
+    judged = jobs.select("id", "title", "description", "source_url", "source_site").mapInPandas(lambda x: _judge(x, few_words), COLUMNS)
+    keyed = written(judged.withColumns({"form": F.xxhash64("src_field", "form"), "address": F.xxhash64("address")}), "residue")  # read five times
+    odd = keyed.where(F.col("verdict") == CANDIDATE)
+    at_host = odd.groupBy("form", "host", "address").agg(F.lit(1).alias("one")).groupBy("form", "host").agg(F.count("*").alias("here"))
+    content = keyed.where(F.col("verdict") == CONTENT).groupBy("form").agg(F.sum("n").alias("content"))
+    overall = at_host.groupBy("form").agg(F.sum("here").alias("everywhere"), F.count("*").alias("hosts")).join(content, "form", "left")
+    totals = keyed.where(F.col("verdict") == TOTAL).groupBy("host", "src_field").agg(F.sum("n").alias("texts"))
+    rate = odd.groupBy("host", "src_field").agg(F.count("*").alias("odd")).join(totals, ["host", "src_field"])
+    rate = rate.select("host", "src_field", (-F.log2((F.col("odd") + 1) / (F.col("texts") + 2))).alias("rare"))
+    served = bits(F.col("everywhere")) + bits(F.col("here")) + bits(F.col("hosts")) - 2 * bits(F.coalesce("content", F.lit(0)))
+    forms = at_host.join(overall, "form").select("form", "host", served.alias("served"))
+    own = F.when(F.col("alone"), 1.0).otherwise(-4.0) + F.when(F.col("wording"), 4.0).otherwise(0.0)
+    weighed = odd.join(forms, ["form", "host"]).join(rate, ["host", "src_field"]).where(F.col("served") + F.col("rare") + own >= least_bits)
+    return keyed.where(F.col("verdict") == SURE).select("id", "src_field").unionByName(weighed.select("id", "src_field"))

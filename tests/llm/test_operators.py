@@ -218,8 +218,23 @@ def test_forms_count_per_host_and_against_their_matches(spark):
     rows += [(f"again{n}", "Stand by", body, at("a", "software-engineer", 1), "a.example") for n in range(6)]  # one address again and again
     rows += [(f"odd{n}", "Backend Developer", body, at("b", f"{c}{c}-role", n), "b.example") for n, c in enumerate("vwxyz")]  # content that is renamed now and then
     rows += [(f"plain{n}", "Backend Developer", body, at("c", "backend-developer", n), "c.example") for n in range(20)]
-    assert found_residue(spark, rows) == {(f"hot{n}", "title") for n in range(6)}
-    assert found_residue(spark, [(i, t, b, u, None) for i, t, b, u, _ in rows]) == {(f"hot{n}", "title") for n in range(6)}
+    want = {(f"{k}{n}", "title") for k, m in (("hot", 6), ("few", 5)) for n in range(m)}
+    assert found_residue(spark, rows) == want
+    assert found_residue(spark, [(i, t, b, u, None) for i, t, b, u, _ in rows]) == want
+
+
+def test_host_evidence_decides(spark):
+    body = " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6))
+    good = [(f"good{h}{n}", "Backend Developer", body + f" q{n}", f"https://{h}.example/jobs/backend-developer-{n}", f"{h}.example") for h in "ab" for n in range(40)]
+    # the same responses of unknown wording: on a host where it is rare, and on one whose addresses never say what the page is about
+    rare = [("rare", "Kindly hold", body, "https://a.example/jobs/data-engineer-1", "a.example")]
+    blind = [(f"blind{n}", f"Tinker {'abcdefghij'[n]}{'abcdefghij'[n]}", body, f"https://c.example/jobs/{'klmnopqrst'[n]}z-{n}", "c.example") for n in range(10)]
+    assert found_residue(spark, good + rare + blind) == {("rare", "title")}
+    assert found_residue(spark, rare + blind) == set()  # nothing is known of the host
+    same = [(i, "Tinker", b, u, h) for i, _, b, u, h in blind]
+    assert found_residue(spark, good + same) == {(f"blind{n}", "title") for n in range(10)}  # one response for ten addresses
+    shared = [("shared", "Wholly renamed", body + " renamed", "https://a.example/jobs/data-engineer-2", "a.example")]
+    assert found_residue(spark, good + shared) == set()  # title and body agree with each other, only the address doesn't
 
 
 # -- leakage ---------------------------------------------------------------------------------------------------------
