@@ -67,7 +67,7 @@ class Numbers:
         n = len(self.known) + 1 if clean else 0
         self.known[token] = n
         if n:
-            if n >= len(self.word):
+            while n >= len(self.word):
                 self.word, self.kept = (np.concatenate([a, np.zeros_like(a)]) for a in (self.word, self.kept))
             self.word[n], self.kept[n] = word_number(clean), word_number(slot(clean, self.common))
         return n
@@ -90,8 +90,8 @@ class Numbers:
         with np.errstate(over="ignore"):
             if len(self.powers) <= n:
                 many = 1 << n.bit_length()
-                self.powers = np.cumprod(np.concatenate([[1], np.full(many, BASE)]).astype(np.uint64), dtype=np.uint64)
-                self.inverses = np.cumprod(np.concatenate([[1], np.full(many, pow(BASE, -1, 1 << 64))]).astype(np.uint64), dtype=np.uint64)
+                self.powers = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(many, BASE, dtype=np.uint64)]), dtype=np.uint64)
+                self.inverses = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(many, pow(BASE, -1, 1 << 64), dtype=np.uint64)]), dtype=np.uint64)
             total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(numbers * self.powers[:n], dtype=np.uint64)])
             h = (total[width:] - total[:-width]) * self.inverses[: n - width + 1] + np.uint64(salt)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,5 +1,7 @@
 """The operators on small tables: cases, nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -267,6 +269,22 @@ def test_single_sentences_with_other_words_are_found(spark):
     assert leakage.rebound(["a", "x", "b", "x"], ["a", "y", "b", "y"], 1, 1, 2, common) == (4, 2, 1) and leakage.rebound(["x", "z"], ["y", "y"], 0, 0, 2, common) == (0, 0, 0)
 
 
+def test_window_hashes_tell_windows_apart():
+    rng = np.random.default_rng(3)
+    passage = [f"w{i}" for i in range(12)]
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 500, 300)) + " " + " ".join(passage) for _ in range(40)]
+    of, at, by_template, by_words = leakage.Numbers({f"w{i}" for i in range(500)}).hashes(texts, 12)
+    read = [t.split() for t in texts]
+    distinct = len({tuple(read[i][j : j + 12]) for i, j in zip(of, at, strict=True)})
+    assert len(set(by_words)) == len(set(by_template)) == distinct  # equal windows hash alike wherever they lie, others differ
+    assert len(set(by_words[at == 300])) == 1
+
+
+def test_many_tokens_of_marks_only():
+    marks = " ".join("".join(x) for x in itertools.product("-*=#~", repeat=5))
+    assert len(leakage.Numbers(set()).hashes([f"{' '.join('abcdefghijk')} {marks} l"], 12)[0]) == 1
+
+
 def test_leakage_against_brute_force(spark, sf):
     items, docs = table(spark, sf, "eval_items").collect(), table(spark, sf, "documents").collect()
     windows = {}
