@@ -14,6 +14,10 @@ precision.
 Cells are split into blocks of at most block_rows; each pair of blocks of a cell is a task of its own, so a cell that
 holds a third of all vectors is spread. The results of all blocks and cells are merged per query.
 
+The sample bounds the number of centres, so cells grow with the data. A block of more than 2 * cell_rows vectors is
+therefore divided once more, where it is searched, around centres of its own: the time for a vector stays the same.
+Queries go to the parts nearly as near as the nearest (part_margin, part_probes), nearest first, and on until they have k.
+
 Defined results: null, empty, all-zero vectors, those with a null or not finite entry and those of another length are
 left out; a key counts once, with its smallest vector if its rows differ; equal similarities end at the smaller key.
 """
@@ -79,12 +83,16 @@ def unpack(blobs: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
+def turned(vectors: np.ndarray, turn: np.ndarray | None) -> np.ndarray:
+    return vectors if turn is None else vectors @ turn.T
+
+
 class Codes:
-    """One-bit codes of a block of vectors around a centre."""
+    """One-bit codes of a block of vectors around a centre. turn: None if everything has been rotated before."""
 
-    def __init__(self, units: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> None:
+    def __init__(self, units: np.ndarray, centre: np.ndarray, turn: np.ndarray | None) -> None:
         self.dims = units.shape[1]
-        residual = (units - centre) @ turn.T
+        residual = turned(units - centre, turn)
         self.norm = np.linalg.norm(residual, axis=1).astype(np.float32)
         direction = residual / np.maximum(self.norm, 1e-9)[:, None]
         bits = direction > 0
@@ -97,9 +105,9 @@ class Codes:
         """The codes as +1 and -1, dimension by vector."""
         return (np.unpackbits(self.packed, axis=1, count=self.dims).astype(np.float32) * 2 - 1).T
 
-    def estimate(self, units: np.ndarray, centre: np.ndarray, turn: np.ndarray, bound: float, signs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def estimate(self, units: np.ndarray, centre: np.ndarray, turn: np.ndarray | None, bound: float, signs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(estimated inner products, bounds of their errors) of queries with every code."""
-        residual = (units - centre) @ turn.T
+        residual = turned(units - centre, turn)
         norm = np.linalg.norm(residual, axis=1)
         guess = residual @ (self.signs() if signs is None else signs)
         guess *= self.norm / (self.cosine * math.sqrt(self.dims))
@@ -108,29 +116,84 @@ class Codes:
         return guess, norm[:, None] * (bound * self.error * self.norm)[None, :] + 1e-4
 
 
-def search_block(queries: np.ndarray, base: np.ndarray, codes: Codes, centre: np.ndarray, turn: np.ndarray, own: np.ndarray, k: int, bound: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (number, numbers in base of its best k, their inner products). own: its number in base or -1."""
-    tile, signs = max(1, 500_000 // max(1, len(base))), codes.signs()
-    for at in range(0, len(queries), tile):
-        part, mine = queries[at : at + tile].astype(np.float32), own[at : at + tile]
-        guess, error = codes.estimate(part, centre, turn, bound, signs)
-        here = np.flatnonzero(mine >= 0)
-        lower = guess - error
-        lower[here, mine[here]] = -4
-        keep = min(k, lower.shape[1])
-        least = -np.partition(-lower, keep - 1, axis=1)[:, keep - 1] if keep < lower.shape[1] else np.full(len(part), -4.0)
-        chosen = (guess + error) >= least[:, None]
-        chosen[here, mine[here]] = False
-        for i in range(len(part)):
-            near = np.flatnonzero(chosen[i])
-            exact = base[near] @ queries[at + i]
-            if len(near) > k:
-                top = np.argpartition(-exact, k - 1)
-                limit = exact[top[k - 1]]
-                top = np.flatnonzero(exact >= limit)  # with its ties
-            else:
-                top = np.arange(len(near))
-            yield at + i, near[top], exact[top]
+def exact_products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows a[i] and b[j]; equal rows give equal products."""
+    parts = (slice(at, at + 512) for at in range(0, len(i), 512))
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[i[p]], b[j[p]]) for p in parts)])
+
+
+def part_centres(vectors: np.ndarray, centre: np.ndarray, cell_rows: int, seed: int) -> np.ndarray:
+    """Centres of the parts of a block: its cell's alone, or about one for cell_rows vectors."""
+    if len(vectors) <= 2 * cell_rows:
+        return centre[None, :]
+    cells = math.ceil(len(vectors) / cell_rows)
+    drawn = np.random.default_rng(seed).choice(len(vectors), min(len(vectors), 32 * cells), replace=False)
+    return fit_centres(vectors[drawn], cells, rounds=6, seed=seed)
+
+
+def ranked(sims: np.ndarray, margin: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres from the nearest on, whether they are nearly as near as the nearest) of every row."""
+    order = np.argsort(-sims, axis=1, kind="stable")
+    near = np.take_along_axis(sims, order, 1) >= np.take_along_axis(sims, order[:, :1], 1) - margin
+    near[:, probes:] = False
+    return order, near
+
+
+def search_block(
+    unit: np.ndarray, base_at: np.ndarray, query_at: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, bound: float,
+    cell_rows: int, margin: float, probes: int, seed: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of unit, inner products) of the best k of the rows base_at for each of the rows query_at; -1 and -4 where there are fewer.
+
+    Of equal products the smaller row is the better one.
+    """
+    small = turned(unit.astype(np.float32), turn)
+    centres = part_centres(small[base_at], turned(centre, turn), cell_rows, seed)
+    home = (small[base_at] @ centres.T).argmax(1)
+    order, near = ranked(small[query_at] @ centres.T, margin, probes)
+    members = [base_at[home == c] for c in range(len(centres))]
+    codes = [Codes(small[m], c, None) for m, c in zip(members, centres, strict=True)]
+    place = np.full(len(unit), -1)
+    for m in members:
+        place[m] = np.arange(len(m))
+    part_of = np.full(len(unit), -1)
+    part_of[base_at] = home
+    best, best_at = np.full((len(query_at), k), -4.0), np.full((len(query_at), k), -1)
+    for rank in range(len(centres)):
+        active = np.flatnonzero(near[:, rank] | (best_at[:, k - 1] < 0))
+        if not len(active):
+            break
+        active = active[np.argsort(order[active, rank], kind="stable")]
+        for rows in np.split(active, np.flatnonzero(np.diff(order[active, rank])) + 1):
+            c = order[rows[0], rank]
+            if not len(members[c]):
+                continue
+            signs, tile = codes[c].signs(), max(1, 500_000 // len(members[c]))
+            for q in (rows[at : at + tile] for at in range(0, len(rows), tile)):
+                here = np.flatnonzero(part_of[query_at[q]] == c)
+                mine = place[query_at[q[here]]]
+                guess, error = codes[c].estimate(small[query_at[q]], centres[c], None, bound, signs)
+                lower = guess - error
+                lower[here, mine] = -4
+                least = best[q, k - 1]
+                if lower.shape[1] > k:
+                    least = np.maximum(least, np.partition(lower, lower.shape[1] - k, axis=1)[:, -k])
+                guess += error
+                chosen = guess >= least[:, None]
+                chosen[here, mine] = False
+                i, j = np.nonzero(chosen)
+                j = members[c][j]
+                exact = exact_products(unit, query_at[q[i]], unit, j)
+                by = np.lexsort((j, -exact, i))
+                i, j, exact = i[by], j[by], exact[by]
+                nth = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+                top = nth < k
+                new, new_at = np.full((len(q), k), -4.0), np.full((len(q), k), -1)
+                new[i[top], nth[top]], new_at[i[top], nth[top]] = exact[top], j[top]
+                both, both_at = np.hstack([best[q], new]), np.hstack([best_at[q], new_at])
+                by = np.lexsort((both_at, -both), axis=1)[:, :k]
+                best[q], best_at[q] = np.take_along_axis(both, by, 1), np.take_along_axis(both_at, by, 1)
+    return best_at, best
 
 
 def usable(rows: DataFrame, dims: int) -> DataFrame:
@@ -140,8 +203,8 @@ def usable(rows: DataFrame, dims: int) -> DataFrame:
 
 
 def nearest(
-    rows: DataFrame, k: int = 5, dims: int = 384, cell_rows: int = 200, block_rows: int = 4000, margin: float = 0.02, probes: int = 4,
-    sample_rows: int = 20_000, bound: float = 1.9, seed: int = 7,
+    rows: DataFrame, k: int = 5, dims: int = 384, cell_rows: int = 200, block_rows: int = 16_000, margin: float = 0.02, probes: int = 4,
+    sample_rows: int = 20_000, bound: float = 1.9, seed: int = 7, part_margin: float = 0.1, part_probes: int = 16,
 ) -> DataFrame:
     """(key, other, similarity): for every key of rows (key, vec) its k most similar others, found with the index.
 
@@ -164,9 +227,7 @@ def nearest(
             raw = np.stack(pdf["vec"].to_numpy()).astype(np.float32)
             unit = raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
             sims = unit @ centres.T
-            p = min(probes, sims.shape[1])
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :p]
-            near = np.take_along_axis(sims, order, 1) >= np.take_along_axis(sims, order[:, :1], 1) - margin
+            order, near = ranked(sims, margin, probes)
             row, rank = np.nonzero(near)
             blobs = np.array(pack(raw), dtype=object)
             keys = pdf["key"].to_numpy()
@@ -202,20 +263,15 @@ def nearest(
         base_at = np.flatnonzero(is_base)
         if not len(base_at):
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("key", "others", "sims")})
-        small = unit.astype(np.float32)
-        codes = Codes(small[base_at], centre, turn)
-        number = np.full(len(keys), -1)
-        number[base_at] = np.arange(len(base_at))
-        q = np.flatnonzero(is_query)
-        base = unit[base_at]
-        out_k, out_o, out_s = [], [], []
-        for i, near, sims in search_block(unit[q], base, codes, centre, turn, number[q], k, bound):
-            names = keys[base_at[near]]
-            order = sorted(range(len(near)), key=lambda j: (-sims[j], names[j]))[:k]
-            out_k.append(keys[q[i]])
-            out_o.append([names[j] for j in order])
-            out_s.append([float(sims[j]) for j in order])
-        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in (("key", out_k), ("others", out_o), ("sims", out_s))})
+        query_at = np.flatnonzero(is_query)
+        best_at, best = search_block(unit, base_at, query_at, centre, turn, k, bound, cell_rows, part_margin, part_probes, seed)
+        known = best_at[:, 0] >= 0
+        many = (best_at[known] >= 0).sum(1).tolist()
+        others, sims = keys[best_at[known]].tolist(), best[known].tolist()
+        return pd.DataFrame({
+            "key": keys[query_at[known]], "others": pd.Series([o[:m] for o, m in zip(others, many, strict=True)], dtype=object),
+            "sims": pd.Series([x[:m] for x, m in zip(sims, many, strict=True)], dtype=object),
+        })
 
     found = spread.groupBy("cell", "bb", "qb").applyInPandas(scan, "key string, others array<string>, sims array<double>")
     # merged per query: at most probes * blocks lists of k

@@ -166,6 +166,28 @@ def test_estimate_is_within_its_bound():
     assert (np.abs(guess - v[:50] @ v.T) <= error).mean() > 0.97
 
 
+def test_large_blocks_are_searched_in_parts(monkeypatch):
+    """A cell that has grown with the data: the codes compared for a vector don't grow with it, neighbours are still found."""
+    rng, compared = np.random.default_rng(5), []
+    groups = rng.standard_normal((60, 48))
+    v = np.repeat(rng.integers(0, 60, 1500), 4)
+    v = groups[v] + 0.9 * np.repeat(rng.standard_normal((1500, 48)), 4, axis=0) + 0.3 * rng.standard_normal((6000, 48))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[10] = v[4321] = v[20]  # equal vectors: the smaller row comes first
+    estimate = neighbours.Codes.estimate
+    monkeypatch.setattr(neighbours.Codes, "estimate", lambda *a: compared.append((x := estimate(*a))[0].size) or x)
+    all_ = np.arange(len(v))
+    at, sims = neighbours.search_block(v, all_, all_, v.mean(0).astype(np.float32), neighbours.rotation(48), 3, 1.9, 100, 0.1, 16, 7)
+    exact = v @ v.T
+    exact[all_, all_] = -9
+    want = np.sort(np.partition(-exact, 3, axis=1)[:, :3], axis=1) * -1
+    assert (sims >= want - 1e-9).mean() > 0.99 and (at != all_[:, None]).all() and (np.diff(sims, axis=1) <= 0).all()
+    assert sum(compared) < 0.3 * len(v) ** 2
+    assert at[10, :2].tolist() == [20, 4321] and at[20, :2].tolist() == [10, 4321]
+    few, _ = neighbours.search_block(v, all_[:2], all_, v[0].astype(np.float32), neighbours.rotation(48), 3, 1.9, 100, 0.1, 16, 7)
+    assert few[0].tolist() == [1, -1, -1] and sorted(few[7].tolist()) == [-1, 0, 1]
+
+
 # -- residue ---------------------------------------------------------------------------------------------------------
 def test_residue(spark):
     url = "https://h.example/jobs/data-engineer-1"
